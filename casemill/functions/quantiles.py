@@ -2,9 +2,9 @@
 
 ``F.percentile`` keeps one map of distinct values per group. That is the right tool for handling
 times in whole days, where the map stays small however many rows there are. For a column of
-arbitrary numbers the map grows with the data, so :func:`exact_quantiles` finds the wanted ranks by
-counting instead: rows become (value, count) pairs, the pairs are counted in monotone buckets, and
-only the buckets that hold a wanted rank are sorted.
+arbitrary numbers the map grows with the data, so :func:`quantiles_of_counts` finds the wanted ranks
+by counting instead: rows become (value, count) pairs, the pairs are counted in monotone buckets,
+and only the buckets that hold a wanted rank are sorted.
 """
 
 from __future__ import annotations
@@ -17,36 +17,53 @@ BUCKETS_PER_LOG_UNIT = 64
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct non-null values with their row counts, per group. A hot group spreads over tasks."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    """Distinct values (null included) with row counts: (by…, v, n). A hot group spreads over tasks."""
+    return df.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bucket(value: Column) -> Column:
-    # Signed logarithm: monotone in the value and at most about 90,000 buckets over all doubles.
+def bucket_of(value: Column) -> Column:
+    """Monotone bucket number: signed logarithm, at most about 90,000 buckets over all doubles."""
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BUCKETS_PER_LOG_UNIT))
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
-) -> DataFrame:
-    """Linear-interpolated quantiles per group: one row per group, one column per entry of ``probs``."""
+def with_ranks(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add to (by…, v, n) the rows placed before each value and the group total: ``before``, ``total``.
+
+    Two running sums replace one over the whole group: first over the buckets of a group, then over
+    the values inside each bucket.
+    """
     key = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
-    counts = (
-        value_counts(df, value, by)
-        .withColumn("_k", key)
-        .withColumn("_b", _bucket(F.col("_v")))
+    keyed = counts.where(F.col("v").isNotNull()).select("*", key.alias("_k"), bucket_of(F.col("v")).alias("_b"))
+    places = _bucket_places(keyed)
+    inside = Window.partitionBy("_k", "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        keyed.join(places, ["_k", "_b"])
+        .withColumn("before", F.col("_before") + F.sum("n").over(inside) - F.col("n"))
+        .select(*counts.columns, "before", F.col("_total").alias("total"))
+    )
+
+
+def _bucket_places(keyed: DataFrame) -> DataFrame:
+    group = Window.partitionBy("_k")
+    running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        keyed.groupBy("_k", "_b")
+        .agg(F.sum("n").alias("_bn"))
+        .select(
+            "_k",
+            "_b",
+            (F.sum("_bn").over(running) - F.col("_bn")).alias("_before"),
+            F.sum("_bn").over(running).alias("_upto"),
+            F.sum("_bn").over(group).alias("_total"),
+        )
     )
-    per_group = Window.partitionBy("_k")
-    buckets = (
-        counts.groupBy("_k", "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_upto", F.sum("_bn").over(per_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_bn").over(per_group))
-        .withColumn("_before", F.col("_upto") - F.col("_bn"))
+
+
+def quantiles_of_counts(counts: DataFrame, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolated quantiles per group of a (by…, v, n) table, one column per entry of ``probs``."""
+    key = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    keyed = counts.where(F.col("v").isNotNull()).select(
+        "v", "n", key.alias("_k"), bucket_of(F.col("v")).alias("_b")
     )
     ranks = {}
     for name, p in probs.items():
@@ -56,18 +73,21 @@ def exact_quantiles(
     for low, high, _ in ranks.values():
         for rank in (low, high):
             holds_rank = holds_rank | ((rank >= F.col("_before")) & (rank < F.col("_upto")))
-    wanted = buckets.where(holds_rank).select("_k", "_b", "_before", "_total")
-    in_bucket = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(wanted, ["_k", "_b"]).withColumn(
-        "_cum", F.col("_before") + F.sum("_n").over(in_bucket)
-    )
+    wanted = _bucket_places(keyed).where(holds_rank).select("_k", "_b", "_before", "_total")
+    inside = Window.partitionBy("_k", "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = keyed.join(wanted, ["_k", "_b"]).withColumn("_cum", F.col("_before") + F.sum("n").over(inside))
     picks = [F.max("_total").alias("_total")]
     for name, (low, high, _) in ranks.items():
-        picks.append(F.min(F.when(F.col("_cum") > low, F.col("_v"))).alias(f"_lo_{name}"))
-        picks.append(F.min(F.when(F.col("_cum") > high, F.col("_v"))).alias(f"_hi_{name}"))
+        picks.append(F.min(F.when(F.col("_cum") > low, F.col("v"))).alias(f"_lo_{name}"))
+        picks.append(F.min(F.when(F.col("_cum") > high, F.col("v"))).alias(f"_hi_{name}"))
     picked = ranked.groupBy("_k").agg(*picks)
     columns = [F.col(f"_k.{c}").alias(c) for c in by]
     for name, (low, _, position) in ranks.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         columns.append((lo + (hi - lo) * (position - low)).alias(name))
     return picked.select(*columns)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of a column per group."""
+    return quantiles_of_counts(value_counts(df, value, by), probs, by)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("charts",)
+MODULES = ("charts", "profiling", "quality", "rca")
 
 
 def load_all() -> None:
