@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("charts", "profiling", "quality", "rca")
+MODULES = ("charts", "profiling", "quality", "rca", "sources")
 
 
 def load_all() -> None:
