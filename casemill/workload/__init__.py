@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("charts", "profiling", "quality", "rca", "sources")
+MODULES = ("charts", "profiling", "quality", "rca", "sources", "operations")
 
 
 def load_all() -> None:
