@@ -1,0 +1 @@
+"""Multi-stage runs composed of the operators."""

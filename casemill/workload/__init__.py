@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("charts", "profiling", "quality", "rca", "sources", "operations")
+MODULES = ("charts", "profiling", "quality", "rca", "sources", "operations", "analytics", "runs")
 
 
 def load_all() -> None:
