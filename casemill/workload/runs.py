@@ -19,11 +19,20 @@ def _folder(spark, name: str) -> str:
     return f"{durable_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _as_stream(spark, df, order: str, parts: int = 4):
-    """The rows as files in time order, read back as a stream of one file per micro-batch."""
+FILES_PER_ARRIVAL = 2
+
+
+def _as_stream(spark, df, order: str):
+    """The rows as files that arrive in time order, read back as a stream of one arrival per micro-batch."""
     path = _folder(spark, "arrivals")
-    df.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(at, [0.25, 0.5, 0.75]).alias("cuts")).first()["cuts"]
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        arrived = df if low is None else df.where(at > low)
+        arrived = arrived if high is None else arrived.where(at <= high)
+        arrived.repartition(FILES_PER_ARRIVAL).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", str(FILES_PER_ARRIVAL)).parquet(path)
 
 
 def _run(spark, stream):
