@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 from casemill.functions.numbers import to_double
 
 SPREADSHEET_EPOCH = "1899-12-30"
+WHITE_SPACE = " \t\n\x0b\f\r"
 # Words that mark a phone, a verbal channel and a cancellation cause.
 PHONE_WORDS = ("telefon", "phone", "telefonico", "telefónico")
 VERBAL_WORDS = ("verbal",)
@@ -18,7 +19,7 @@ CANCEL_WORDS = ("cancel",)
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:

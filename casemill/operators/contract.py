@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -65,14 +66,14 @@ def _keep_together(df: DataFrame) -> DataFrame:
 def check_contract(
     df: DataFrame, min_date: str = EARLIEST_OPENING, enforce_unique: bool = True
 ) -> DataFrame:
-    """Coerced rows with ``failures``: the list of broken rules, empty for a valid row."""
+    """Coerced rows with ``failures``: the broken rules joined by semicolons, empty for a valid row."""
     typed = coerce(df)
     names = typed.columns
     checks = _row_failures(typed, min_date)
     if enforce_unique:
         typed = _keep_together(typed)
         checks.append(F.when(F.col("_repeated"), F.lit("case_id: not unique")))
-    return typed.select(*names, F.array_compact(F.array(*checks)).alias("failures"))
+    return typed.select(*names, F.concat_ws("; ", *checks).alias("failures"))
 
 
 def validate_contract(
@@ -80,9 +81,9 @@ def validate_contract(
 ) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows with rule id and reason)."""
     checked = check_contract(df, min_date, enforce_unique)
-    valid = checked.where(F.size("failures") == 0).drop("failures")
-    reason = F.substring(F.array_join("failures", "; "), 1, REASON_LIMIT)
-    bad = checked.where(F.size("failures") > 0).select(
+    valid = checked.where(F.col("failures") == "").drop("failures")
+    reason = F.substring("failures", 1, REASON_LIMIT)
+    bad = checked.where(F.col("failures") != "").select(
         *[c for c in checked.columns if c != "failures"], F.lit(RULE_ID).alias("rule_id"), reason.alias("reason")
     )
     return valid, bad
@@ -129,30 +130,44 @@ def _migration_rules() -> list[_Rule]:
     ]
 
 
-def _failures_column() -> Column:
-    """Failures of a row in firing order: an array of (failed_field, rule_violated, rejected_value)."""
-    entries: list[Column] = []
+def _firing() -> list[tuple[_Rule, Column]]:
+    """Each rule with the condition under which it is reported, in firing order."""
+    fired: list[tuple[_Rule, Column]] = []
     valid: Column = F.lit(True)
     for rule in _migration_rules():
-        fires = (valid & rule.broken) if rule.only_if_valid else rule.broken
-        entry = F.struct(
-            F.lit(rule.field).alias("failed_field"),
-            F.lit(rule.name).alias("rule_violated"),
-            F.col(rule.field).cast("string").alias("rejected_value"),
-        )
-        entries.append(F.when(fires, entry))
+        fired.append((rule, (valid & rule.broken) if rule.only_if_valid else rule.broken))
         valid = valid & ~rule.broken
-    return F.array_compact(F.array(*entries))
+    return fired
+
+
+def _any_broken() -> Column:
+    """Whether a row breaks any rule at all; a rule held back by an earlier one implies the earlier one."""
+    return reduce(lambda a, b: a | b, [rule.broken for rule in _migration_rules()])
 
 
 def migration_failures(df: DataFrame) -> DataFrame:
     """One row per (record, broken rule) in firing order."""
-    return df.select(F.col("case_id").cast("string").alias("record_id"), F.inline(_failures_column()))
+    entries = [
+        F.when(
+            fires,
+            F.struct(
+                F.lit(rule.field).alias("failed_field"),
+                F.lit(rule.name).alias("rule_violated"),
+                F.col(rule.field).cast("string").alias("rejected_value"),
+            ),
+        )
+        for rule, fires in _firing()
+    ]
+    return (
+        df.where(_any_broken())
+        .select(F.col("case_id").cast("string").alias("record_id"), F.inline(F.array(*entries)))
+        .where(F.col("failed_field").isNotNull())
+    )
 
 
 def migration_valid(df: DataFrame) -> DataFrame:
     """Rows that break no migration rule."""
-    return df.where(F.size(_failures_column()) == 0)
+    return df.where(~_any_broken())
 
 
 def reconcile(source: DataFrame, loaded: DataFrame, failures: DataFrame) -> DataFrame:
@@ -173,7 +188,7 @@ def reconcile(source: DataFrame, loaded: DataFrame, failures: DataFrame) -> Data
 
 def migration_report(source: DataFrame, min_success: float = MIN_SUCCESS_PCT) -> DataFrame:
     """One row: totals, success rate and status of a migration of ``source``, from one pass."""
-    broken = F.size(_failures_column())
+    broken = sum((fires.cast("int") for _, fires in _firing()), F.lit(0))
     row = source.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(broken == 0).alias("success_count"),

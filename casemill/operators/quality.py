@@ -52,13 +52,14 @@ def catalog_mismatches(df: DataFrame, catalogs: DataFrame) -> DataFrame:
     ``catalogs`` holds (field, value). A field without catalog rows accepts everything and is not
     checked. Values are counted before they meet the catalog, so the join is as small as the domains.
     """
-    fields = catalogs.select("field").distinct()
-    candidates = [c for c, t in df.dtypes if t == "string"]
-    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in candidates])
+    listed = catalogs.where(F.col("field").isin(df.columns)).select("field").distinct()
+    fields = sorted(row["field"] for row in listed.collect())  # at most one per table column
+    if not fields:
+        return catalogs.limit(0).select("field", F.lit(0).alias("checked"), F.lit(0).alias("unmatched"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields])
     counted = (
         df.select(F.inline(pairs))
         .where(F.col("value").isNotNull())
-        .join(fields, "field", "left_semi")
         .groupBy("field", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

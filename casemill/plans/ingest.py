@@ -102,10 +102,10 @@ def run_pipeline(spark: SparkSession, config: IngestConfig) -> str:
         batch.stages.append("profile")
         batch.record(spark, control_path, "processing")
 
-        good, bad = F.size("failures") == 0, F.size("failures") > 0
+        good, bad = F.col("failures") == "", F.col("failures") != ""
         counts = checked.agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("valid")).first()
         batch.read, batch.valid, batch.quarantined = counts["n"], counts["valid"], counts["n"] - counts["valid"]
-        rejected = checked.where(bad).withColumn("reason", F.array_join("failures", "; ")).drop("failures")
+        rejected = checked.where(bad).withColumnRenamed("failures", "reason")
         sinks.write_quarantine(
             sinks.quarantine_rows(rejected, F.lit(batch.started_at), RULE_ID, F.col("reason")),
             f"{config.output}/quarantine",
