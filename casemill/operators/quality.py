@@ -43,7 +43,7 @@ def _pct(part: Column, whole: Column) -> Column:
 
 def _score(bad: Column, whole: Column) -> Column:
     """100 minus the bad percentage, floored at zero, 100 without rows; two places."""
-    return F.coalesce(round_to(F.greatest(F.lit(100.0) - share(bad, whole), F.lit(0.0)), 2), F.lit(100.0))
+    return round_to(F.greatest(F.lit(100.0) - _pct(bad, whole), F.lit(0.0)), 2)
 
 
 def catalog_mismatches(df: DataFrame, catalogs: DataFrame) -> DataFrame:
