@@ -6,9 +6,7 @@ import sys
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from casemill.functions.scan import sequential_scan
 from casemill.functions.text import strip
 from casemill.operators.access import ROLES
 
@@ -85,7 +83,8 @@ def check_transitions(requests: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def _replay():
+def request_rules():
+    """(start, step) of the same rules for one attempt at a time, used by the streaming job."""
     allowed = {pair: frozenset(roles) for pair, roles in TRANSITIONS.items()}
 
     def start() -> dict:
@@ -119,21 +118,99 @@ def _replay():
     return start, step
 
 
-REPLAY_COLUMNS = StructType(
-    [
-        StructField("code", LongType()),
-        StructField("reason", StringType()),
-        StructField("state", StringType()),
-        StructField("version", LongType()),
-    ]
-)
+def _longest_path() -> int:
+    """Most state changes a request can go through."""
+
+    def depth(state: str) -> int:
+        return max((1 + depth(b) for a, b in TRANSITIONS if a == state), default=0)
+
+    return depth(INITIAL)
+
+
+def _granted(state: Column) -> Column:
+    """Whether the attempt's target and role are allowed from a state."""
+    allowed = [F.concat_ws(">", F.lit(a), F.lit(b), F.lit(r)) for (a, b), roles in TRANSITIONS.items() for r in roles]
+    return F.coalesce(F.concat_ws(">", state, F.col("target_state"), F.col("role")).isin(*allowed), F.lit(False))
+
+
+def _same_version(version: Column) -> Column:
+    return F.col("expected_version").isNull() | (F.col("expected_version") == version)
+
+
+def _changes(log: DataFrame) -> DataFrame:
+    """Per request its accepted changes in order: (request_id, change_1, change_2, …), null when not reached.
+
+    The next change is the earliest attempt after the last one that the current state and version
+    accept, a minimum that is combined before the shuffle. A request changes state a handful of times
+    at most, so a few rounds find all changes however many attempts there are on one request.
+    """
+    eligible = log.where(
+        F.col("role").isin(*ROLES) & ~F.col("role").isin(*NEVER_CHANGE) & ~too_short(F.col("justification"))
+    ).select(
+        "request_id",
+        F.struct("attempted_at", "attempt_id").alias("_at"),
+        "target_state",
+        "role",
+        "expected_version",
+    )
+    change = F.min(F.struct(F.col("_at").alias("at"), F.col("target_state").alias("state")))
+    first = eligible.where(_granted(F.lit(INITIAL)) & _same_version(F.lit(1)))
+    found = first.groupBy("request_id").agg(change.alias("change_1"))
+    for number in range(2, _longest_path() + 1):
+        last = F.col(f"change_{number - 1}")
+        moving = found.where(last.isNotNull() & ~last["state"].isin(*TERMINAL)).select(
+            "request_id", last["at"].alias("_since"), last["state"].alias("_state")
+        )
+        following = (
+            eligible.join(moving, "request_id")
+            .where((F.col("_at") > F.col("_since")) & _granted(F.col("_state")) & _same_version(F.lit(number)))
+            .groupBy("request_id")
+            .agg(change.alias(f"change_{number}"))
+        )
+        found = found.join(following, "request_id", "left")
+    return found
 
 
 def replay_transitions(log: DataFrame) -> DataFrame:
-    """Apply attempts (request_id, attempt_id, attempted_at, target_state, role, justification,
-    expected_version) in time order; add the outcome and the state and version after it."""
-    start, step = _replay()
-    return sequential_scan(log, ["request_id"], ["attempted_at", "attempt_id"], start, step, REPLAY_COLUMNS)
+    """Outcome of every attempt (request_id, attempt_id, attempted_at, target_state, role, justification,
+    expected_version) in time order: code, reason, and the state and version after it.
+
+    State and version at an attempt follow from the accepted changes before it, so each attempt is
+    judged on its own beside its request's few changes.
+    """
+    changes = [F.col(f"change_{n}") for n in range(1, _longest_path() + 1)]
+    here = F.struct("attempted_at", "attempt_id")
+    state, done, accepted = F.lit(INITIAL), F.lit(0), F.lit(False)
+    for c in changes:
+        earlier = F.coalesce(c["at"] < here, F.lit(False))
+        state = F.when(earlier, c["state"]).otherwise(state)
+        done = done + earlier.cast("int")
+        accepted = accepted | F.coalesce(c["at"] == here, F.lit(False))
+    judged = log.join(_changes(log), "request_id", "left").select(
+        *log.columns, state.alias("_state"), (done + 1).cast("long").alias("_version"), accepted.alias("_accepted")
+    )
+    now = F.col("_state")
+    pairs = [F.concat_ws(">", F.lit(a), F.lit(b)) for a, b in TRANSITIONS]
+    checks = [
+        (~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), 403, "unknown_role"),
+        (too_short(F.col("justification")), 400, "justification_too_short"),
+        (F.col("role").isin(*NEVER_CHANGE), 403, "role_never_changes_state"),
+        (~_same_version(F.col("_version")), 409, "concurrent_change"),
+        (now.isin(*TERMINAL), 409, "terminal_state"),
+        (~F.concat_ws(">", now, F.col("target_state")).isin(*pairs), 409, "undefined_transition"),
+        (~_granted(now), 403, "role_not_authorized"),
+    ]
+    code, reason = F.lit(200), F.lit("ok")
+    for broken, number, name in reversed(checks):
+        code = F.when(broken, F.lit(number)).otherwise(code)
+        reason = F.when(broken, F.lit(name)).otherwise(reason)
+    return judged.select(
+        *log.columns,
+        code.cast("long").alias("code"),
+        reason.alias("reason"),
+        F.when(F.col("_accepted"), F.col("target_state")).otherwise(now).alias("state"),
+        (F.col("_version") + F.col("_accepted").cast("int")).alias("version"),
+    )
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:

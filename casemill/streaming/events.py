@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from casemill.operators.directory import MAX_PER_MINUTE, WINDOW_SECONDS
-from casemill.operators.requests import INITIAL, _replay
+from casemill.operators.requests import request_rules
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -76,7 +76,7 @@ def throttle_stream(
 
 def request_state_stream(attempts: DataFrame) -> DataFrame:
     """Apply transition attempts per request as they arrive; the state is (current state, version)."""
-    start, step = _replay()
+    start, step = request_rules()
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = start()
@@ -119,4 +119,4 @@ def session_stream(
     )
 
 
-__all__ = ["INITIAL", "request_state_stream", "session_stream", "throttle_stream", "volume_stream"]
+__all__ = ["request_state_stream", "session_stream", "throttle_stream", "volume_stream"]

@@ -425,7 +425,44 @@ def _transition_log(spark, sf):
     )
 
 
-@query("ops18_replay_transitions")
+def _replay_sql() -> str:
+    """The same rounds in SQL: the earliest accepted attempt after the last change, four times."""
+    known = ", ".join(f"'{r}'" for r in ROLES)
+    never = ", ".join(f"'{r}'" for r in NEVER_CHANGE)
+    good = ("En_Revision", "Aprobada", "En_Ejecucion", "Cerrada", "Rechazada")
+    rounds = []
+    for k in range(1, 5):
+        before = "'Solicitada'" if k == 1 else "p.target_state"
+        source = "eligible e" if k == 1 else f"eligible e JOIN c{k - 1} p ON e.request_id = p.request_id AND (e.attempted_at, e.attempt_id) > (p.attempted_at, p.attempt_id)"
+        rounds.append(
+            f"""c{k} AS (SELECT request_id, attempted_at, attempt_id, target_state FROM (SELECT e.*, row_number() OVER (PARTITION BY e.request_id ORDER BY e.attempted_at, e.attempt_id) AS place
+              FROM {source} WHERE (e.expected_version IS NULL OR e.expected_version = {k})
+                AND EXISTS (SELECT 1 FROM rules u WHERE u.from_state = {before} AND u.to_state = e.target_state AND u.role = e.role)) WHERE place = 1)"""
+        )
+    every = " UNION ALL ".join(f"SELECT *, {k} AS k FROM c{k}" for k in range(1, 5))
+    return f"""WITH {_rules_sql()}, log AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS request_id, event_id AS attempt_id, ts AS attempted_at,
+        {pick_sql(good, "event_id")} AS target_state,
+        CASE WHEN event_id % 4 <> 0 THEN 'SYSTEM_ADMIN' ELSE {pick_sql(_ASKING, "event_id // 4")} END AS role,
+        {pick_sql(_JUSTIFY, "event_id // 5 + 2")} AS justification,
+        CASE WHEN event_id % 5 = 0 THEN event_id % 4 + 1 END AS expected_version FROM events),
+      eligible AS (SELECT * FROM log WHERE role IN ({known}) AND role NOT IN ({never}) AND length(trim(justification)) >= 10),
+      {", ".join(rounds)}, changes AS ({every}),
+      judged AS (SELECT l.*, coalesce((SELECT count(*) FROM changes c WHERE c.request_id = l.request_id AND (c.attempted_at, c.attempt_id) < (l.attempted_at, l.attempt_id)), 0) AS n,
+        EXISTS (SELECT 1 FROM changes c WHERE c.request_id = l.request_id AND c.attempt_id = l.attempt_id) AS ok FROM log l),
+      stated AS (SELECT j.*, coalesce(c.target_state, 'Solicitada') AS before FROM judged j LEFT JOIN changes c ON c.request_id = j.request_id AND c.k = j.n),
+      r AS (SELECT *, CASE WHEN role NOT IN ({known}) THEN 'unknown_role' WHEN length(trim(justification)) < 10 THEN 'justification_too_short'
+        WHEN role IN ({never}) THEN 'role_never_changes_state' WHEN expected_version <> n + 1 THEN 'concurrent_change'
+        WHEN before IN ('Cerrada', 'Rechazada') THEN 'terminal_state'
+        WHEN NOT EXISTS (SELECT 1 FROM rules u WHERE u.from_state = before AND u.to_state = target_state) THEN 'undefined_transition'
+        WHEN NOT EXISTS (SELECT 1 FROM rules u WHERE u.from_state = before AND u.to_state = target_state AND u.role = stated.role) THEN 'role_not_authorized'
+        ELSE 'ok' END AS reason FROM stated)
+    SELECT request_id, attempt_id, attempted_at, target_state, role, justification, expected_version, reason,
+      CASE WHEN reason = 'ok' THEN 200 WHEN reason = 'justification_too_short' THEN 400
+        WHEN reason IN ('concurrent_change', 'terminal_state', 'undefined_transition') THEN 409 ELSE 403 END AS code,
+      CASE WHEN ok THEN target_state ELSE before END AS state, n + 1 + ok::INT AS version FROM r"""
+
+
+@query("ops18_replay_transitions", _replay_sql())
 def replay_transitions(spark, sf):
     return requests.replay_transitions(_transition_log(spark, sf))
 

@@ -184,9 +184,32 @@ def similar_values(spark, sf):
     return profiling.similar_values(table(spark, sf, "part"), "p_brand")
 
 
-@query("prf07_profile_columns")
+def _profile_sql() -> str:
+    kinds = {"case_id": "numeric", "handling_days": "numeric", "opened_on": "datetime", "closed_on": "datetime"}
+    parts = []
+    for c in CASE_COLUMNS:
+        kind = f"'{kinds[c]}'" if c in kinds else f"CASE WHEN count(DISTINCT {c}) < 50 THEN 'categorical' ELSE 'text' END"
+        hits = "CAST(0 AS BIGINT)"
+        if kinds.get(c) == "numeric":
+            hits = f"""(SELECT count(*) FROM cases, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM cases)
+              WHERE q3 <> q1 AND ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)))"""
+        pct = f"(count(*) - count({c})) * 100e0 / count(*)"
+        parts.append(
+            f"""SELECT '{c}' AS column_name, {kind} AS data_type, count(*) - count({c}) AS null_count, {rnd(pct, 2)} AS null_percentage,
+            count(DISTINCT {c}) AS unique_count, {hits} AS outlier_count, CAST(0 AS BIGINT) AS invalid_date_count,
+            CASE WHEN {pct} > 20 THEN 'high' WHEN {pct} >= 5 THEN 'medium' ELSE 'low' END AS severity FROM cases"""
+        )
+    return with_cases(" UNION ALL ".join(parts))
+
+
+@query("prf07_profile_columns", _profile_sql())
 def profile_columns(spark, sf):
-    return profiling.profile_columns(cases(spark, sf))
+    return profiling.profile_columns(cases(spark, sf)).drop("similar_groups")
+
+
+@query("prf07_similar_groups")
+def similar_groups(spark, sf):
+    return profiling.profile_columns(cases(spark, sf)).select("column_name", "similar_groups")
 
 
 @query(

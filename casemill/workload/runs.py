@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from casemill.plans import ingest, migrate as migration, report
 from casemill.session import durable_dir
+from casemill.sources import readers, sinks
 from casemill.streaming import events as streams, files
 from casemill.workload import operations, sources
-from casemill.workload.registry import query
-from casemill.workload.tables import cases, table
+from casemill.workload.quality import COUNTERS, DIM, SCORE
+from casemill.workload.registry import query, rnd
+from casemill.workload.tables import cases, table, with_cases
 
 
 def _folder(spark, name: str) -> str:
@@ -107,11 +109,19 @@ def ingest_files(spark, sf):
     )
 
 
-@query("src22_ingest_run")
+@query(
+    "src22_ingest_run",
+    with_cases(
+        """SELECT 'completed' AS status, 'ingest,profile,validate,enrich,serve' AS stages_completed, n AS records_read, ok AS records_valid,
+          n - ok AS records_quarantined, 'completed' AS first_run, 'skipped' AS second_run FROM (SELECT count(*) AS n,
+          count(*) FILTER (WHERE case_id IS NOT NULL AND opened_on >= DATE '1996-06-01' AND status IS NOT NULL AND cause IS NOT NULL
+            AND channel IS NOT NULL AND company IS NOT NULL AND case_type IS NOT NULL AND coalesce(handling_days, 0) >= 0) AS ok FROM cases)"""
+    ),
+)
 def ingest_run(spark, sf):
     source, output = _folder(spark, "source") + ".parquet", _folder(spark, "run")
     cases(spark, sf).write.parquet(source)
-    config = ingest.IngestConfig(source, output, date(2001, 12, 31), min_date="1995-01-01", enforce_unique=False)
+    config = ingest.IngestConfig(source, output, date(2001, 12, 31), min_date="1996-06-01", enforce_unique=False)
     first, second = ingest.run_pipeline(spark, config), ingest.run_pipeline(spark, config)
     return ingest.read_control(spark, output).select(
         "status", "stages_completed", "records_read", "records_valid", "records_quarantined",
@@ -119,11 +129,51 @@ def ingest_run(spark, sf):
     )
 
 
-@query("val06_migrate")
+@query(
+    "val06_migrate",
+    f"""WITH {sources.DIRTY} SELECT *, source_count = loaded_count + quarantined_count AS match,
+      {rnd("loaded_count * 100e0 / source_count", 2)} AS success_rate,
+      CASE WHEN loaded_count * 100e0 / source_count >= 95 THEN 'completed' ELSE 'failed' END AS status, CAST(NULL AS VARCHAR) AS error FROM (SELECT
+      (SELECT count(*) FROM dirty) AS source_count, (SELECT count(*) FROM good) AS loaded_count,
+      (SELECT count(*) FROM failed) AS quarantined_count, (SELECT count(DISTINCT record_id) FROM failed) AS failed_records)""",
+)
 def migrate(spark, sf):
     return migration.migrate(spark, sources._dirty(spark, sf), _folder(spark, "target"), _folder(spark, "quarantine"))
 
 
-@query("prf09_quality_report")
+@query(
+    "prf09_quality_report",
+    with_cases(
+        f"""SELECT DATE '2001-12-31' AS as_of, '1.0' AS schema_version, *, {SCORE} AS composite_score, '' AS errors FROM (SELECT
+          n AS total_record_count, CAST(13 AS BIGINT) AS total_column_count, {DIM["completeness"]} AS overall_completeness_pct,
+          100e0 AS overall_validity_pct, {rnd("(n - ids) * 100e0 / n", 2)} AS duplication_rate, {DIM["completeness"]} AS completeness,
+          100e0 AS validity, 100e0 AS consistency, 100e0 - {rnd("(n - ids) * 100e0 / n", 2)} AS uniqueness, 100e0 AS timeliness,
+          100e0 AS referential_integrity FROM k)""",
+        COUNTERS,
+    ),
+)
 def quality_report(spark, sf):
     return report.quality_report(cases(spark, sf), as_of=date(2001, 12, 31)).summary
+
+
+@query(
+    "src18_export_report",
+    with_cases("SELECT count(*) AS total_record_count, CAST(13 AS BIGINT) AS profiled_columns FROM cases"),
+)
+def export_report(spark, sf):
+    found = report.quality_report(cases(spark, sf), as_of=date(2001, 12, 31))
+    path = _folder(spark, "report")
+    sinks.export_report(found.summary, found.columns, path)
+    columns = spark.read.parquet(f"{path}/columns").agg(F.count(F.lit(1)).alias("profiled_columns"))
+    return spark.read.json(f"{path}/report").select("total_record_count").crossJoin(columns)  # one row each
+
+
+@query("src19_read_audit", "SELECT event_id, event_type AS action FROM events")
+def read_audit(spark, sf):
+    path = _folder(spark, "lines")
+    line = F.to_json(F.struct("event_id", F.col("event_type").alias("action")))
+    events = table(spark, sf, "events")
+    # Every tenth line is also written a second time, cut in half.
+    broken = events.where("event_id % 10 = 0").select(F.expr("substring(to_json(struct(event_id, event_type)), 1, 9)").alias("value"))
+    events.select(line.alias("value")).unionByName(broken).write.text(path)
+    return readers.read_audit(spark, path).select("event_id", "action")
