@@ -138,40 +138,42 @@ _KINDS = ("boolean", "numeric", "datetime", "string")
 def infer_types(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Semantic type per column: the kind held by at least 80 % of the non-blank values, else mixed."""
     values = column_values(df) if values is None else values
-    native = {f.name: _native_kind(f.dataType) for f in df.schema.fields}
     known = F.lit(None).cast("string")
-    for name, kind in native.items():
-        if kind:
-            known = F.when(F.col("column_name") == name, F.lit(kind)).otherwise(known)
+    for kind in ("numeric", "datetime", "boolean"):
+        names = [f.name for f in df.schema.fields if _native_kind(f.dataType) == kind]
+        if names:
+            known = F.when(F.col("column_name").isin(names), F.lit(kind)).otherwise(known)
     present = F.col("value").isNotNull()
-    kinds = values.withColumn("_native", known).withColumn(
-        "_kind", F.when(present, F.coalesce(F.col("_native"), value_kind(F.col("value"))))
-    )
-    counted = kinds.groupBy("column_name").agg(
-        F.max("_native").alias("_native"),
-        count_when(present).alias("distinct_count"),
-        *[F.coalesce(F.sum(F.when(F.col("_kind") == k, F.col("n"))), F.lit(0)).alias(f"_{k}") for k in _KINDS],
+    counted = (
+        values.withColumn("_kind", F.when(present, F.coalesce(known, value_kind(F.col("value")))))
+        .groupBy("column_name")
+        .agg(
+            count_when(present).alias("distinct_count"),
+            *[F.coalesce(F.sum(F.when(F.col("_kind") == k, F.col("n"))), F.lit(0)).alias(f"_{k}") for k in _KINDS],
+        )
+        .withColumn("_all", sum((F.col(f"_{k}") for k in _KINDS), F.lit(0)))
     )
-    classified = sum((F.col(f"_{k}") for k in _KINDS), F.lit(0))
-    pct = {k: F.coalesce(round_to(share(F.col(f"_{k}"), classified), 2), F.lit(0.0)) for k in _KINDS}
-    best = F.greatest(*pct.values())
+    pct = {k: F.col(f"{k}_pct") for k in _KINDS}
+    shares = counted.withColumns(
+        {f"{k}_pct": F.coalesce(round_to(share(F.col(f"_{k}"), F.col("_all")), 2), F.lit(0.0)) for k in _KINDS}
+    ).withColumn("confidence", F.greatest(*pct.values()))
     leader = F.lit(None).cast("string")
     for k in reversed(_KINDS):
-        leader = F.when((pct[k] == best) & (pct[k] >= TYPE_SHARE * 100), F.lit(k)).otherwise(leader)
+        leads = (pct[k] == F.col("confidence")) & (pct[k] >= TYPE_SHARE * 100)
+        leader = F.when(leads, F.lit(k)).otherwise(leader)
+    lead = F.col("_leader")
     inferred = (
-        F.when(classified == 0, F.lit("unknown"))
-        .when(leader.isNull(), F.lit("mixed"))
-        .when((leader == "string") & (F.col("distinct_count") < CATEGORICAL_LIMIT), F.lit("categorical"))
-        .when(leader == "string", F.lit("text"))
-        .otherwise(leader)
+        F.when(F.col("_all") == 0, F.lit("unknown"))
+        .when(lead.isNull(), F.lit("mixed"))
+        .when((lead == "string") & (F.col("distinct_count") < CATEGORICAL_LIMIT), F.lit("categorical"))
+        .when(lead == "string", F.lit("text"))
+        .otherwise(lead)
+    )
+    return (
+        shares.withColumn("_leader", leader)
+        .select("column_name", inferred.alias("inferred_type"), "confidence", "distinct_count", *[f"{k}_pct" for k in _KINDS])
+        .orderBy("column_name")
     )
-    return counted.select(
-        "column_name",
-        inferred.alias("inferred_type"),
-        best.alias("confidence"),
-        "distinct_count",
-        *[pct[k].alias(f"{k}_pct") for k in _KINDS],
-    ).orderBy("column_name")
 
 
 def _date_parts(fmt: str) -> tuple[str, str]:
@@ -185,9 +187,12 @@ def _date_parts(fmt: str) -> tuple[str, str]:
     return f"^{shape}$", pattern
 
 
-def date_format_of(text: Column) -> Column:
-    """First recognised format a value parses with, null when none does."""
-    bare = F.regexp_replace(strip(text), r"\s+", " ")
+def _bare_date(text: Column) -> Column:
+    return F.regexp_replace(strip(text), r"\s+", " ")
+
+
+def date_format_of(bare: Column) -> Column:
+    """First recognised format a trimmed value parses with, null when none does."""
     found = F.lit(None).cast("string")
     for fmt in reversed(DATE_FORMATS):
         shape, pattern = _date_parts(fmt)
@@ -200,8 +205,8 @@ def validate_dates(df: DataFrame, column: str) -> DataFrame:
     """One row: how many values of a column are dates, in which formats, and up to ten that are not."""
     native = isinstance(df.schema[column].dataType, _TEMPORAL)
     values = column_values(df, [column]).where(F.col("value").isNotNull())
-    found = F.lit(NATIVE_DATES) if native else date_format_of(F.col("value"))
-    dated = values.withColumn("fmt", found)
+    found = F.lit(NATIVE_DATES) if native else date_format_of(F.col("_bare"))
+    dated = values.withColumn("_bare", _bare_date(F.col("value"))).withColumn("fmt", found)
     bad = F.col("fmt").isNull()
     total = F.coalesce(F.sum("n"), F.lit(0))
     invalid = F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0))
@@ -368,7 +373,12 @@ def similar_values(df: DataFrame, column: str, ratio: float = SIMILARITY) -> Dat
     )
 
 
-def dataset_metrics(df: DataFrame, id_column: str = "case_id", values: DataFrame | None = None) -> DataFrame:
+def dataset_metrics(
+    df: DataFrame,
+    id_column: str = "case_id",
+    values: DataFrame | None = None,
+    types: DataFrame | None = None,
+) -> DataFrame:
     """One row: size, filled cells, mean type confidence and duplication rate."""
     values = column_values(df) if values is None else values
     columns = len(df.columns)
@@ -376,7 +386,7 @@ def dataset_metrics(df: DataFrame, id_column: str = "case_id", values: DataFrame
         (F.sum("n") / columns).cast("long").alias("total_record_count"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("_nulls"),
     )
-    confidence = infer_types(df, values).agg(F.avg("confidence").alias("_confidence"))
+    confidence = (infer_types(df, values) if types is None else types).agg(F.avg("confidence").alias("_confidence"))
     repeats = duplicate_report(df, id_column).select("duplication_rate")
     cells = F.col("total_record_count") * columns
     return (
@@ -393,15 +403,17 @@ def dataset_metrics(df: DataFrame, id_column: str = "case_id", values: DataFrame
     )
 
 
-def profile_columns(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
+def profile_columns(
+    df: DataFrame, values: DataFrame | None = None, types: DataFrame | None = None
+) -> DataFrame:
     """One row per column: semantic type, nulls, distinct values, outliers, bad dates, null severity.
 
     Outliers are counted for numeric columns, bad dates for datetime columns, and similar names for
-    categorical columns (only groups of at least five names are listed).
+    categorical columns (only groups of at least five names are listed). ``values`` and ``types``, if
+    given, are read several times and should be stored results.
     """
-    values = column_values(df) if values is None else values
-    values = durable(values)
-    types = durable(infer_types(df, values))
+    values = durable(column_values(df)) if values is None else values
+    types = durable(infer_types(df, values)) if types is None else types
     kinds = {r["column_name"]: r["inferred_type"] for r in types.select("column_name", "inferred_type").collect()}
     present = F.col("value").isNotNull()
     nulls = values.groupBy("column_name").agg(
@@ -413,7 +425,8 @@ def profile_columns(df: DataFrame, values: DataFrame | None = None) -> DataFrame
     outliers = _outliers_of_values(numeric)
     bad_dates = (
         values.where(F.col("column_name").isin(dates or [""]) & present)
-        .where(date_format_of(F.col("value")).isNull())
+        .withColumn("_bare", _bare_date(F.col("value")))
+        .where(date_format_of(F.col("_bare")).isNull())
         .groupBy("column_name")
         .agg(F.sum("n").alias("invalid_date_count"))
     )

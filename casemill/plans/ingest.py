@@ -33,6 +33,7 @@ class IngestConfig:
     fmt: str | None = None
     min_date: str = EARLIEST_OPENING
     enforce_unique: bool = True
+    fingerprint: str = "content"
     catalogs: DataFrame | None = field(default=None, compare=False)
 
 
@@ -80,11 +81,7 @@ def run_pipeline(spark: SparkSession, config: IngestConfig) -> str:
     that copy instead of the source.
     """
     control_path = f"{config.output}/control"
-    files = readers.source_files(spark, config.source)
-    digest = files.agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ""), 256).alias("sha256"),
-        F.min("file_name").alias("file_name"),
-    )
+    digest = readers.source_digest(readers.source_files(spark, config.source, by=config.fingerprint))
     pending = sinks.pending_files(digest, read_control(spark, config.output)).first()  # one row or none
     if pending is None:
         return "skipped"

@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
-from casemill.operators.profiling import column_values, dataset_metrics, profile_columns
+from casemill.operators.profiling import column_values, dataset_metrics, infer_types, profile_columns
 from casemill.operators.quality import DIMENSIONS, composite
 from casemill.session import durable
 
@@ -39,8 +39,9 @@ def quality_report(df: DataFrame, as_of: date, id_column: str = "case_id") -> Qu
         raise ValueError("no column can be profiled: " + "; ".join(errors))
     table = df.select(*usable)
     values = durable(column_values(table))
-    columns = durable(profile_columns(table, values))
-    metrics = dataset_metrics(table, id_column, values)
+    types = durable(infer_types(table, values))
+    columns = durable(profile_columns(table, values, types))
+    metrics = dataset_metrics(table, id_column, values, types)
     scores = {
         "completeness": F.col("overall_completeness_pct"),
         "validity": F.col("overall_validity_pct"),

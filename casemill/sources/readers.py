@@ -63,14 +63,41 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASE_SCHEMA).parquet(path)
 
 
-def source_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files with size and SHA-256, hashed where they are read. A file must fit in one row (2 GB)."""
+def source_files(spark: SparkSession, path: str, glob: str = "*", by: str = "content") -> DataFrame:
+    """Files with size and SHA-256, hashed where they are read.
+
+    ``by="content"`` reads every byte and needs files below 2 GB. ``by="listing"`` hashes path, size
+    and modification time instead and reads nothing, for sources too large to be read twice.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    listing = F.concat_ws("|", F.col("path"), F.col("length").cast("string"), F.col("modificationTime").cast("string"))
+    hashed = F.sha2(F.col("content"), 256) if by == "content" else F.sha2(listing, 256)
     return files.select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
         "path",
         F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+        hashed.alias("sha256"),
+    )
+
+
+def source_digest(files: DataFrame) -> DataFrame:
+    """One row for a set of files: the file's own hash, or a hash of all of them in any order.
+
+    The combination keeps a count and two folded numbers, never a list of files.
+    """
+    number = F.xxhash64("sha256")
+    folded = F.concat_ws(
+        ":",
+        F.count(F.lit(1)).cast("string"),
+        F.bit_xor(number).cast("string"),
+        F.sum(F.pmod(number, F.lit(2**31))).cast("string"),
+    )
+    single = F.count(F.lit(1)) == 1
+    return files.agg(
+        F.when(single, F.min("sha256")).otherwise(F.sha2(folded, 256)).alias("sha256"),
+        F.min("file_name").alias("file_name"),
+        F.count(F.lit(1)).alias("files"),
+        F.sum("bytes").alias("bytes"),
     )
 
 
@@ -80,11 +107,7 @@ def source_metadata(spark: SparkSession, paths: Mapping[str, str], fmt: str | No
     for part, path in paths.items():
         df = read_source(spark, path, fmt)
         counted = df.agg(F.count(F.lit(1)).alias("records"))
-        files = source_files(spark, path).agg(
-            F.count(F.lit(1)).alias("files"),
-            F.sum("bytes").alias("bytes"),
-            F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), ""), 256).alias("sha256"),
-        )
+        files = source_digest(source_files(spark, path))
         row = counted.crossJoin(files).select(  # one row each
             F.lit(part).alias("part"),
             "records",

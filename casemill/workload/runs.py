@@ -47,7 +47,10 @@ def throttle(spark, sf):
     return _run(spark, streams.throttle_stream(_as_stream(spark, log, "sent_at")))
 
 
-@query("str02_request_state")
+@query(
+    "str02_request_state",
+    f"SELECT request_id, attempt_id, code, reason, state, version FROM ({operations._replay_sql()})",
+)
 def request_state(spark, sf):
     return _run(spark, streams.request_state_stream(_as_stream(spark, operations._transition_log(spark, sf), "attempted_at")))
 
