@@ -130,23 +130,25 @@ def _migration_rules() -> list[_Rule]:
     ]
 
 
-def _firing() -> list[tuple[_Rule, Column]]:
-    """Each rule with the condition under which it is reported, in firing order."""
+def _flagged(df: DataFrame) -> tuple[DataFrame, list[tuple[_Rule, Column]]]:
+    """The rows with one flag per rule, and each rule with the condition under which it is reported.
+
+    Flags are columns of their own, so cleaning expressions behind them are evaluated once per row.
+    """
+    rules = _migration_rules()
+    flags = [f"_rule_{i}" for i in range(len(rules))]
     fired: list[tuple[_Rule, Column]] = []
     valid: Column = F.lit(True)
-    for rule in _migration_rules():
-        fired.append((rule, (valid & rule.broken) if rule.only_if_valid else rule.broken))
-        valid = valid & ~rule.broken
-    return fired
-
-
-def _any_broken() -> Column:
-    """Whether a row breaks any rule at all; a rule held back by an earlier one implies the earlier one."""
-    return reduce(lambda a, b: a | b, [rule.broken for rule in _migration_rules()])
+    for rule, flag in zip(rules, flags):
+        broken = F.col(flag)
+        fired.append((rule, (valid & broken) if rule.only_if_valid else broken))
+        valid = valid & ~broken
+    return df.withColumns({flag: rule.broken for rule, flag in zip(rules, flags)}), fired
 
 
 def migration_failures(df: DataFrame) -> DataFrame:
     """One row per (record, broken rule) in firing order."""
+    flagged, fired = _flagged(df)
     entries = [
         F.when(
             fires,
@@ -156,18 +158,16 @@ def migration_failures(df: DataFrame) -> DataFrame:
                 F.col(rule.field).cast("string").alias("rejected_value"),
             ),
         )
-        for rule, fires in _firing()
+        for rule, fires in fired
     ]
-    return (
-        df.where(_any_broken())
-        .select(F.col("case_id").cast("string").alias("record_id"), F.inline(F.array(*entries)))
-        .where(F.col("failed_field").isNotNull())
+    return flagged.select(F.col("case_id").cast("string").alias("record_id"), F.inline(F.array(*entries))).where(
+        F.col("failed_field").isNotNull()
     )
 
 
 def migration_valid(df: DataFrame) -> DataFrame:
-    """Rows that break no migration rule."""
-    return df.where(~_any_broken())
+    """Rows that break no migration rule; a rule held back by an earlier one implies the earlier one."""
+    return df.where(~reduce(lambda a, b: a | b, [rule.broken for rule in _migration_rules()]))
 
 
 def reconcile(source: DataFrame, loaded: DataFrame, failures: DataFrame) -> DataFrame:
@@ -188,8 +188,9 @@ def reconcile(source: DataFrame, loaded: DataFrame, failures: DataFrame) -> Data
 
 def migration_report(source: DataFrame, min_success: float = MIN_SUCCESS_PCT) -> DataFrame:
     """One row: totals, success rate and status of a migration of ``source``, from one pass."""
-    broken = sum((fires.cast("int") for _, fires in _firing()), F.lit(0))
-    row = source.agg(
+    flagged, fired = _flagged(source)
+    broken = F.col("_broken")
+    row = flagged.withColumn("_broken", sum((fires.cast("int") for _, fires in fired), F.lit(0))).agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(broken == 0).alias("success_count"),
         F.count_if(broken > 0).alias("failed_count"),
