@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from casemill.functions.joins import small
 from casemill.functions.text import email_domain, strip
 
 # Permissions, and the permissions of each role.
@@ -93,7 +94,7 @@ def authorize(requests: DataFrame, matrix: DataFrame) -> DataFrame:
     """Add ``allowed``: the role holds the permission. Unknown roles and permissions are denied."""
     granted = matrix.select("role", "permission").distinct().withColumn("_granted", F.lit(True))
     return (
-        requests.join(granted, ["role", "permission"], "left")
+        requests.join(small(granted), ["role", "permission"], "left")
         .withColumn("allowed", F.col("_granted").isNotNull())
         .drop("_granted")
     )
@@ -147,7 +148,7 @@ def authorize_emails(
         "_domain", email_domain(F.col("_email"))
     )
     joined = prepared.join(addresses, F.col("_email") == F.col("address_key"), "left").join(
-        domains, F.col("_domain") == F.col("domain_key"), "left"
+        small(domains), F.col("_domain") == F.col("domain_key"), "left"
     )
     valid = valid_email(F.col("email"))
     corporate_address = F.coalesce(F.col("_email").endswith(corporate), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from casemill.functions.joins import small
 from casemill.operators.requests import MIN_JUSTIFICATION, page
 
 # Approvers per operation, operations with ordered steps, hours until expiry.
@@ -37,7 +38,9 @@ def check_approval_requests(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``outcome``, ``status`` and ``expires_at`` to (operation, approver_role, justification, requested_at)."""
     known = rules.select("operation").distinct().withColumn("_known", F.lit(True))
     granted = rules.select("operation", F.col("role").alias("approver_role")).distinct().withColumn("_granted", F.lit(True))
-    joined = requests.join(known, "operation", "left").join(granted, ["operation", "approver_role"], "left")
+    joined = requests.join(small(known), "operation", "left").join(
+        small(granted), ["operation", "approver_role"], "left"
+    )
     outcome = (
         F.when(F.col("_known").isNull(), F.lit("unknown_operation"))
         .when(F.col("_granted").isNull(), F.lit("role_not_required"))
@@ -57,14 +60,14 @@ def check_approval_requests(requests: DataFrame, rules: DataFrame) -> DataFrame:
 def expand_steps(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per step: legal then VP for sequential operations, else the first required role."""
     steps = rules.where(F.col("sequential") | (F.col("step_order") == 1)).select("operation", "step_order", "role")
-    return requests.join(steps, "operation").select(
+    return requests.join(small(steps), "operation").select(
         *requests.columns, "step_order", F.col("role").alias("approver_role")
     )
 
 
 def missing_approvers(requests: DataFrame, approvals: DataFrame, rules: DataFrame) -> DataFrame:
     """Required roles per request that have not approved yet."""
-    required = requests.select("request_id", "operation").join(rules.select("operation", "role"), "operation")
+    required = requests.select("request_id", "operation").join(small(rules.select("operation", "role")), "operation")
     given = approvals.where(F.col("status") == "approved").select("request_id", F.col("approver_role").alias("role"))
     return required.join(given, ["request_id", "role"], "left_anti").select("request_id", "operation", "role")
 

@@ -7,6 +7,7 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from casemill.functions.joins import small
 from casemill.functions.text import strip
 from casemill.operators.access import ROLES
 
@@ -54,9 +55,9 @@ def check_transitions(requests: DataFrame, rules: DataFrame) -> DataFrame:
     current, target = F.col("current_state"), F.col("target_state")
     named = requests.withColumn("from_state", current).withColumn("to_state", target)
     joined = (
-        named.join(pairs, ["from_state", "to_state"], "left")
-        .join(granted, ["from_state", "to_state", "role"], "left")
-        .join(targets, "from_state", "left")
+        named.join(small(pairs), ["from_state", "to_state"], "left")
+        .join(small(granted), ["from_state", "to_state", "role"], "left")
+        .join(small(targets), "from_state", "left")
     )
     checks = [
         (current.isNull(), 422, "state_required"),

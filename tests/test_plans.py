@@ -68,3 +68,18 @@ def test_pareto_orders_sizes_not_groups(spark, sf, folder):
 def test_case_view_joins_only_what_is_wanted(spark, sf):
     assert plan(cases(spark, sf, "handling_days", "outcome")).count("FileScan") == 1
     assert plan(cases(spark, sf, "cause").groupBy("cause").agg(F.count("*"))).count("FileScan") == 2
+
+
+def test_rule_tables_do_not_shuffle_the_facts(spark, sf):
+    from casemill.operators import requests
+    from casemill.workload.operations import _attempts
+
+    text = plan(requests.check_transitions(_attempts(spark, sf), requests.transition_rules(spark)))
+    assert text.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in text
+
+
+def test_large_rule_tables_are_not_broadcast(spark):
+    from casemill.functions.joins import small
+
+    assert "broadcast" in small(spark.range(5), rows=5)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in small(spark.range(6), rows=5)._jdf.queryExecution().logical().toString().lower()
