@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casemill.llm import quality_rules, topk
+from casemill.llm import quality_rules, topk, toxicity
 from casemill.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -67,3 +67,20 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def _crc_of_id() -> Column:
+    return F.crc32(F.col("doc_id").cast("string"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    found = toxicity.scored(docs, labels, trains=_crc_of_id() % 5 != 0)
+    return found.select(
+        "doc_id",
+        F.coalesce(_crc_of_id() % 5 == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
