@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from casemill.llm.words import text_chunks
+
 NGRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 20
 FEATURES = 1 << 15
@@ -31,17 +33,6 @@ _SLICES = 64
 _CHUNK = 1 << 20
 
 
-def text_chunks(texts: pa.Array, most: int = _CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts hold about ``most`` bytes together; one long text is a range itself."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(texts):
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
-        yield start, stop
-        start = stop
-
-
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every n-gram occurrence of every text; rows in order within each n."""
     padded = [f" {t} " for t in pc.fill_null(pc.ascii_lower(texts), "").to_pylist()]
@@ -71,7 +62,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
     for batch in batches:
         texts, labels = batch["text"], batch["label"].to_numpy()
-        for start, stop in text_chunks(texts):
+        for start, stop in text_chunks(texts, _CHUNK):
             rows, buckets = _distinct(*grams(texts.slice(start, stop - start)))
             for label in (0, 1):
                 counts[label] += np.bincount(buckets[labels[start:stop][rows] == label], minlength=counts.shape[1])
@@ -94,7 +85,7 @@ def _chosen(feature_of: np.ndarray):
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out = batch["text"], []
-            for start, stop in text_chunks(texts):
+            for start, stop in text_chunks(texts, _CHUNK):
                 rows, buckets = grams(texts.slice(start, stop - start))
                 feature = feature_of[buckets]
                 rows, feature = _distinct(rows[feature >= 0], feature[feature >= 0])
@@ -139,7 +130,7 @@ def _scorer(feature_of: np.ndarray, ratio: np.ndarray, weights: np.ndarray, bias
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, scores = batch["text"], []
-            for start, stop in text_chunks(texts):
+            for start, stop in text_chunks(texts, _CHUNK):
                 n = stop - start
                 rows, buckets = grams(texts.slice(start, n))
                 feature = feature_of[buckets]
