@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casemill.llm import packing, quality_rules, topk, toxicity
+from casemill.llm import mixing, packing, quality_rules, topk, toxicity
 from casemill.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -91,3 +91,43 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+MIXING_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS k
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM d GROUP BY source
+), c AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS w, 2 * source_size AS cap FROM s
+), l AS (
+  SELECT *, 1.5e0 * sum(source_size) OVER () AS budget,
+         (1.5e0 * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+  FROM c WINDOW o AS (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, budget, least(CAST(cap AS DOUBLE), w * (SELECT arg_min(level, cap / w) FROM l WHERE cap / w >= level)) AS target
+  FROM l
+), q AS (
+  SELECT d.*, source_size, target, budget,
+         sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS UNBOUNDED PRECEDING) AS cum
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (
+  SELECT doc_id, size, budget, (cum + e * source_size) / target AS fin, k, coalesce(source, '') AS source, e
+  FROM q CROSS JOIN (VALUES (0), (1)) AS x(e) WHERE size > 0
+), r AS (
+  SELECT doc_id, size, sum(size) OVER (ORDER BY fin, k, source, size, e ROWS UNBOUNDED PRECEDING) <= budget AS kept FROM e
+), n AS (
+  SELECT doc_id, count(*) AS copies FROM r WHERE kept GROUP BY doc_id
+)
+SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op4_mix_sources", MIXING_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
