@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casemill.llm import mixing, packing, quality_rules, topk, toxicity
+from casemill.llm import mixing, packing, quality_rules, topk, toxicity, url_filter
 from casemill.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -131,3 +131,8 @@ FROM q LEFT JOIN n USING (doc_id)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
