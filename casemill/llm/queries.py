@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casemill.llm import mixing, packing, quality_rules, topk, toxicity, url_filter
+from casemill.llm import mixing, packing, quality_rules, token_counts, topk, toxicity, url_filter
 from casemill.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -136,3 +136,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_url_filter")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
