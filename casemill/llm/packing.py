@@ -57,7 +57,7 @@ def token_ids(texts: pa.Array, path: str, known: dict[str, list[int]]) -> tuple[
     if len(known) > REMEMBERED_WORDS:
         known.clear()
     new = [w for w in distinct if w not in known]
-    for w, found in zip(new, _tokenizer(path).encode_batch(new, add_special_tokens=False)):
+    for w, found in zip(new, _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
         known[w] = found.ids
     parts = [known[w] for w in distinct]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -72,9 +72,15 @@ def token_ids(texts: pa.Array, path: str, known: dict[str, list[int]]) -> tuple[
     return flat[places], per_text
 
 
+@lru_cache(maxsize=2)
+def _remembered(path: str) -> dict[str, list[int]]:
+    """What this worker process has tokenised so far, across its tasks."""
+    return {}
+
+
 def _cut(path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        known = _remembered(path)
         for batch in batches:
             texts = batch["text"]
             for start, stop in text_chunks(texts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casemill.llm import mixing, packing, ppm, quality_rules, token_counts, topk, toxicity, url_filter
+from casemill.llm import jaccard_join, mixing, packing, ppm, quality_rules, token_counts, topk, toxicity, url_filter
 from casemill.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -151,3 +151,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
