@@ -1,12 +1,17 @@
-"""A corpus pipeline of the training-data operators: each stage reads what its predecessor kept."""
+"""A corpus pipeline of the training-data operators: each stage reads what its predecessor kept.
+
+Every stage but the last returns the columns of its input. Null ids pass the stages as documents of their
+own. Rows that repeat an id are one document from the near-duplicate stage on.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casemill.llm import quality_rules
+from casemill.llm import jaccard_join, mixing, packing, quality_rules, suffix_dedup
 from casemill.session import durable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,7 +22,45 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents the one with the smallest id stays."""
+    found = durable(jaccard_join.joined(docs).where(F.col("doc_id").isNotNull()))
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.where(F.col("doc_id").isNull()).union(docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose what an earlier document, or an earlier part of the same one, already holds."""
+    kept = durable(suffix_dedup.deduplicated(docs, with_text=True).where(F.col("doc_id").isNotNull()))
+    kept = kept.select(F.col("doc_id").alias("_id"), "kept_text")
+    joined = docs.join(kept, F.col("doc_id") == F.col("_id"), "left")
+    text = F.coalesce("kept_text", "text")
+    length = docs.schema["n_chars"].dataType
+    columns = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast(length)}
+    return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document appears as often as the mix takes it; what it does not take goes."""
+    copies = mixing.mixed(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    taken = docs.join(durable(copies), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in the sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("mix_sources", mix),
+    ("best_fit_packing", pack),
+]
 #: Stages beyond the first cannot be expressed in SQL; tests/llm checks them against brute force.
 ORACLE_SQL: str | None = None
 
