@@ -52,10 +52,10 @@ BASE_RULES = (
     Rule("repeated_words", "100 * n_repeat_words - 50 * n_words", high=0),
 )
 RULES = (
-    Rule("word_length", "word_chars / n_words", low=2, high=14),
-    Rule("symbols", "n_symbols / n_words", high=0.3),
-    Rule("repeated_lines", "n_dup_lines / n_lines", high=0.4),
-    Rule("stop_words", "n_stop_words / n_words", low=0.02),
+    Rule("word_length", "try_divide(word_chars, n_words)", low=2, high=14),
+    Rule("symbols", "try_divide(n_symbols, n_words)", high=0.3),
+    Rule("repeated_lines", "try_divide(n_dup_lines, n_lines)", high=0.4),
+    Rule("stop_words", "try_divide(n_stop_words, n_words)", low=0.02),
 )
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 _POSITION_BITS = 28
