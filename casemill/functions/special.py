@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TINY = 1e-300
-_STEPS = 500
+_STEPS = 1_000_000
 
 
 def normal_quantile(p: float) -> float:
@@ -42,8 +42,8 @@ def _lentz(first: float, term) -> float:
         step = c * d
         value *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"a continued fraction did not converge in {_STEPS} steps")
 
 
 def chi2_upper(x: float, dof: float) -> float:
@@ -54,12 +54,12 @@ def chi2_upper(x: float, dof: float) -> float:
     scale = math.exp(a * math.log(y) - y - math.lgamma(a))
     if y < a + 1.0:
         part = total = 1.0 / a
-        for i in range(1, 100_000):
+        for i in range(1, _STEPS):
             part *= y / (a + i)
             total += part
             if part < total * 1e-16:
-                break
-        return 1.0 - total * scale
+                return 1.0 - total * scale
+        raise ArithmeticError(f"a series did not converge in {_STEPS} steps")
     fraction = _lentz(y + 1.0 - a, lambda i: (-i * (i - a), y + 2.0 * i + 1.0 - a))
     return scale / fraction
 

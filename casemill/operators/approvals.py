@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casemill.functions.joins import small
@@ -132,10 +134,16 @@ def sequential_violations(steps: DataFrame) -> DataFrame:
 
 
 def check_decisions(
-    decisions: DataFrame, approvals: DataFrame, as_of: Column, steps: DataFrame | None = None
+    decisions: DataFrame,
+    approvals: DataFrame,
+    as_of: Column,
+    steps: DataFrame | None = None,
+    order: Sequence[str] = ("decided_at", "decision_id"),
 ) -> DataFrame:
-    """Add ``outcome`` and ``new_status`` to (approval_id, approver_role, decision, justification).
+    """Add ``outcome`` and ``new_status`` to (approval_id, approver_role, decision, justification, …).
 
+    Decisions of one approval are applied one after another in the strict order of the columns ``order``:
+    the first acceptable one decides, and to every later one the approval is no longer pending.
     ``steps`` switches to the stricter plane: an administrator may decide any step, and a VP step
     waits for its legal step.
     """
@@ -164,12 +172,23 @@ def check_decisions(
         .when(blocked, F.lit("SEQUENTIAL_VIOLATION"))
         .otherwise(F.lit("APPLIED"))
     )
+    judged = joined.withColumn("outcome", outcome)
+    place = F.struct(*order)
+    # Combined before the shuffle, so an approval with many decisions is one row per task.
+    first = judged.where(F.col("outcome") == "APPLIED").groupBy("approval_id").agg(
+        F.min(F.struct(place.alias("place"), F.col("decision").alias("decision"))).alias("_first")
+    )
+    judged = judged.join(first, "approval_id", "left").withColumn("_late", F.coalesce(place > F.col("_first.place"), F.lit(False)))
+    pending = F.col("outcome").isin("APPLIED", "EXPIRED", "ROLE_MISMATCH", "SEQUENTIAL_VIOLATION")
     status = (
-        F.when(F.col("outcome") == "APPLIED", F.col("decision"))
+        F.when(F.col("_late"), F.col("_first.decision"))
+        .when(F.col("outcome") == "APPLIED", F.col("decision"))
         .when(F.col("outcome") == "EXPIRED", F.lit("expired"))
         .otherwise(F.col("_status"))
     )
-    return joined.withColumn("outcome", outcome).select(*decisions.columns, "outcome", status.alias("new_status"))
+    return judged.withColumn(
+        "outcome", F.when(F.col("_late") & pending, F.lit("INVALID_STATUS")).otherwise(F.col("outcome"))
+    ).select(*decisions.columns, "outcome", status.alias("new_status"))
 
 
 def list_approvals(

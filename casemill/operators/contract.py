@@ -12,7 +12,6 @@ from casemill.functions.text import normalize_status, strip
 from casemill.schema import CASE_SCHEMA, CASE_TYPES, EARLIEST_OPENING, REQUIRED, STATUSES
 
 RULE_ID = "SCHEMA_VALIDATION"
-REASON_LIMIT = 500
 MIN_SUCCESS_PCT = 95.0
 
 
@@ -82,7 +81,7 @@ def validate_contract(
     """(valid rows, quarantined rows with rule id and reason)."""
     checked = check_contract(df, min_date, enforce_unique)
     valid = checked.where(F.col("failures") == "").drop("failures")
-    reason = F.substring("failures", 1, REASON_LIMIT)
+    reason = F.col("failures")
     bad = checked.where(F.col("failures") != "").select(
         *[c for c in checked.columns if c != "failures"], F.lit(RULE_ID).alias("rule_id"), reason.alias("reason")
     )

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from casemill.functions.numbers import round_to, share
+from casemill.functions.ordering import with_running_total
 from casemill.operators.charts import group_counts
 from casemill.schema import HIGH_CONCENTRATION, MIN_GROUP, PARETO_CUT
 
@@ -39,8 +40,11 @@ def pareto(
 ) -> DataFrame:
     """Share and running share of the surviving groups; equal counts share the running share."""
     ranked = cumulate(group_counts(df, column, min_group=min_group, keep_null=keep_null))
-    first_name = Window.partitionBy("count").orderBy(F.col(column).asc_nulls_first())
-    leads = (F.col("above") == 0) & (F.row_number().over(first_name) == 1)
+    # The first name among the largest groups: one row.
+    name = F.struct(F.col(column).isNotNull().alias("known"), F.col(column).alias("name"))
+    lead = ranked.where("above = 0").agg(F.min(name).alias("_lead"))
+    ranked = ranked.crossJoin(F.broadcast(lead))
+    leads = (F.col("above") == 0) & F.col(column).eqNullSafe(F.col("_lead.name"))
     pct = round_to(share(F.col("count"), F.col("total")), 2)
     return ranked.select(
         column,
@@ -55,13 +59,9 @@ def pareto(
 
 def _in_order(groups: DataFrame, column: str) -> DataFrame:
     """Place every group in strict order: count descending, then name."""
-    ties = Window.partitionBy("count").orderBy(column)
-    return (
-        cumulate(groups)
-        .withColumn("_tie", F.row_number().over(ties))
-        .withColumn("before", F.col("above") + (F.col("_tie") - 1) * F.col("count"))
-        .withColumn("running", F.col("before") + F.col("count"))
-    )
+    ordered = with_running_total(groups, [F.desc("count"), F.col(column).asc()], "count", "running")
+    total = groups.agg(F.sum("count").alias("total"))
+    return ordered.withColumn("before", F.col("running") - F.col("count")).crossJoin(F.broadcast(total))
 
 
 def pareto_table(df: DataFrame, column: str = "cause") -> DataFrame:

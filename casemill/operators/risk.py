@@ -27,6 +27,8 @@ LEAKAGE = ("closed_on", "outcome", "handling_days", "close_reason")
 UNKNOWN = "desconocido"
 TEST_SHARE = 0.25
 SEED = 42
+# Fixed value: iterations of the logistic regression.
+MAX_ITERATIONS = 1000
 IMBALANCED_BELOW = 0.20
 MIN_AUC = 0.60
 TREE_DEPTH = 4
@@ -211,13 +213,15 @@ def train_risk(df: DataFrame, features: Sequence[str] = FEATURES) -> RiskModel:
         standardization=False,
         regParam=1.0 / total,
         elasticNetParam=0.0,
-        maxIter=100,
+        maxIter=MAX_ITERATIONS,
         tol=1e-6,
     ).fit(weighted)
     kind, chosen = "logistic_regression", logistic
     scored = _score(logistic, test)
     metrics = evaluate(scored).first().asDict()
     limitations: list[str] = []
+    if logistic.summary.totalIterations >= MAX_ITERATIONS:
+        limitations.append(f"logistic regression stopped at its limit of {MAX_ITERATIONS} iterations")
     if metrics["roc_auc"] < MIN_AUC:
         limitations.append(f"logistic regression reaches a ROC-AUC of {metrics['roc_auc']}; tried a decision tree")
         tree = DecisionTreeClassifier(

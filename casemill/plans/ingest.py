@@ -124,5 +124,5 @@ def run_pipeline(spark: SparkSession, config: IngestConfig) -> str:
         batch.record(spark, control_path, "completed")
         return "completed"
     except Exception as error:  # noqa: BLE001  the failure itself is the result of the run
-        batch.record(spark, control_path, "failed", f"{type(error).__name__}: {str(error)[:500]}")
+        batch.record(spark, control_path, "failed", f"{type(error).__name__}: {error}")
         return "failed"

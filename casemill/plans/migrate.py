@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casemill.functions.numbers import round_to, share
@@ -10,24 +11,47 @@ from casemill.session import durable
 from casemill.sources.sinks import insert_missing
 
 
+def _keys(spark: SparkSession, target: str) -> DataFrame:
+    """Ids that the target holds; none before the first load."""
+    try:
+        return spark.read.parquet(target).select(F.col("case_id").cast("long"))
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.range(0).select(F.col("id").alias("case_id"))
+
+
 def migrate(
-    spark: SparkSession, source: DataFrame, target: str, quarantine: str, min_success: float = MIN_SUCCESS_PCT
-) -> DataFrame:
-    """Run a migration into a Parquet table keyed by case id; one report row.
+    spark: SparkSession, source: DataFrame, target: str, quarantine: str, min_success: float = MIN_SUCCESS_PCT,
+    batch_id: str = "migration",
+) -> DataFrame:
+    """Run a migration into a Parquet table keyed by case id; one report row, counted from the target.
 
-    Repeating it loads nothing new. A load error gives status ``aborted`` with the counts known so far.
+    ``loaded_count`` are the rows that this run added, ``present_count`` the valid source rows whose id the
+    target holds afterwards, ``remaining_count`` those whose id it does not hold. Repeating a run loads
+    nothing new and replaces the quarantine rows of its ``batch_id``. A load error gives status ``aborted``
+    with the counts of what the target really holds.
     """
     cleaned = durable(clean(source))
     valid, failures = migration_valid(cleaned), durable(migration_failures(cleaned))
     stamped = failures.withColumn("quarantine_timestamp", F.current_timestamp())
-    stamped.write.mode("append").parquet(quarantine)
+    stamped.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+    before = _keys(spark, target).count()
     error: str | None = None
     try:
         insert_missing(spark, target, valid, ["case_id"])
     except Exception as problem:  # noqa: BLE001  reported in the row
-        error = f"{type(problem).__name__}: {str(problem)[:200]}"
-    row = reconcile(cleaned, valid, failures)
-    rate = F.coalesce(share(F.col("loaded_count"), F.col("source_count")), F.lit(0.0))
+        error = f"{type(problem).__name__}: {problem}"
+    held = _keys(spark, target)
+    loaded = held.count() - before
+    present = valid.join(held.distinct(), "case_id", "left_semi").count()
+    row = (
+        reconcile(cleaned, valid, failures)
+        .withColumn("remaining_count", F.col("loaded_count") - F.lit(present))
+        .withColumn("loaded_count", F.lit(loaded).cast("long"))
+        .withColumn("present_count", F.lit(present).cast("long"))
+    )
+    rate = F.coalesce(share(F.col("present_count"), F.col("source_count")), F.lit(0.0))
     status = F.when(rate >= min_success, F.lit("completed")).otherwise(F.lit("failed"))
     return row.select(
         "*",

@@ -144,7 +144,7 @@ def validate_source(spark: SparkSession, path: str, fmt: str | None = None) -> D
             if unnamed:
                 problems.append(("warning", f"{len(unnamed)} columns without a name"))
     except Exception as error:  # noqa: BLE001  any reader failure is a finding about the source
-        problems.append(("error", f"{type(error).__name__}: {str(error).splitlines()[0][:200]}"))
+        problems.append(("error", f"{type(error).__name__}: {error}"))
     return spark.createDataFrame(problems, "level string, message string")
 
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-REASON_LIMIT = 500
 JDBC_BATCH = 5_000
 AUDIT_RESULTS = ("success", "failure")
 AUDIT_REQUIRED = ("user_id", "action", "resource", "result")
@@ -35,18 +34,24 @@ def write_table(df: DataFrame, target: str, mode: str = "append", jdbc: dict[str
         df.write.mode(mode).parquet(target)
 
 
-def quarantine_rows(df: DataFrame, at: Column, rule: str | Column, reason: str | Column) -> DataFrame:
-    """(quarantine_timestamp, rule_id, reason, record_data) with the record as JSON."""
+def quarantine_rows(
+    df: DataFrame, at: Column, rule: str | Column, reason: str | Column, reason_limit: int | None = None
+) -> DataFrame:
+    """(quarantine_timestamp, rule_id, reason, record_data) with the record as JSON.
+
+    Reasons stay whole; ``reason_limit`` cuts them to so many characters.
+    """
 
     def column(value: str | Column) -> Column:
         return F.lit(value) if isinstance(value, str) else value
 
     extra = {"rule_id", "reason"}
+    whole = column(reason)
     record = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in extra])
     return df.select(
         at.cast("timestamp").alias("quarantine_timestamp"),
         column(rule).alias("rule_id"),
-        F.substring(column(reason), 1, REASON_LIMIT).alias("reason"),
+        whole.alias("reason") if reason_limit is None else F.substring(whole, 1, reason_limit).alias("reason"),
         F.to_json(record).alias("record_data"),
     )
 

@@ -635,11 +635,14 @@ def _decisions(spark, sf):
         pick(_DECIDERS, number).alias("approver_role"),
         F.when(F.col("l_returnflag") == "R", F.lit("rejected")).otherwise(F.lit("approved")).alias("decision"),
         pick(_JUSTIFY, F.col("l_suppkey")).alias("justification"),
+        F.col("l_shipdate").alias("decided_at"),
+        (F.col("l_orderkey") * 10 + number).alias("decision_id"),
     )
 
 
 DECISIONS = f"""decisions AS (SELECT CASE WHEN l_linenumber = 7 THEN l_orderkey + 1000000000000 ELSE l_orderkey END AS approval_id, {pick_sql(_DECIDERS, "l_linenumber")} AS approver_role,
-  CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'approved' END AS decision, {pick_sql(_JUSTIFY, "l_suppkey")} AS justification FROM lineitem),
+  CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'approved' END AS decision, {pick_sql(_JUSTIFY, "l_suppkey")} AS justification,
+  l_shipdate AS decided_at, l_orderkey * 10 + l_linenumber AS decision_id FROM lineitem),
   waiting AS (SELECT v.approval_id FROM approvals v WHERE v.approver_role = 'VP_APPROVER' AND EXISTS (SELECT 1 FROM approvals l
     WHERE l.application_id = v.application_id AND l.approver_role = 'LEGAL_APPROVER' AND l.status <> 'approved' AND l.step_order < v.step_order))"""
 
@@ -647,12 +650,20 @@ DECISIONS = f"""decisions AS (SELECT CASE WHEN l_linenumber = 7 THEN l_orderkey
 def _decision_sql(strict: bool) -> str:
     role = "d.approver_role <> a.approver_role" + (" AND d.approver_role <> 'SYSTEM_ADMIN'" if strict else "")
     blocked = "WHEN a.approval_id IN (SELECT approval_id FROM waiting) THEN 'SEQUENTIAL_VIOLATION'" if strict else ""
-    return f"""WITH {APPROVALS}, {DECISIONS} SELECT approval_id, approver_role, decision, justification, outcome,
-      CASE outcome WHEN 'APPLIED' THEN decision WHEN 'EXPIRED' THEN 'expired' ELSE status END AS new_status FROM (
+    place = "ROW(decided_at, decision_id)"
+    return f"""WITH {APPROVALS}, {DECISIONS}, judged AS (
       SELECT d.*, a.status, CASE WHEN length(justification) < 10 THEN 'VALIDATION_ERROR' WHEN a.approval_id IS NULL THEN 'NOT_FOUND'
         WHEN a.status <> 'pending' THEN 'INVALID_STATUS' WHEN TIMESTAMP '{SNAPSHOT}' > expires_at THEN 'EXPIRED'
-        WHEN {role} THEN 'ROLE_MISMATCH' {blocked} ELSE 'APPLIED' END AS outcome
-      FROM decisions d LEFT JOIN approvals a ON a.approval_id = d.approval_id)"""
+        WHEN {role} THEN 'ROLE_MISMATCH' {blocked} ELSE 'APPLIED' END AS seen
+      FROM decisions d LEFT JOIN approvals a ON a.approval_id = d.approval_id),
+    first AS (SELECT approval_id AS first_id, min({place}) AS place, arg_min(decision, {place}) AS decided
+      FROM judged WHERE seen = 'APPLIED' GROUP BY approval_id),
+    placed AS (SELECT *, coalesce({place} > place, false) AS late FROM judged LEFT JOIN first ON first_id = approval_id),
+    ordered AS (SELECT *, CASE WHEN late AND seen IN ('APPLIED', 'EXPIRED', 'ROLE_MISMATCH', 'SEQUENTIAL_VIOLATION')
+      THEN 'INVALID_STATUS' ELSE seen END AS outcome FROM placed)
+    SELECT approval_id, approver_role, decision, justification, decided_at, decision_id, outcome,
+      CASE WHEN outcome = 'APPLIED' THEN decision WHEN outcome = 'EXPIRED' THEN 'expired' WHEN late THEN decided ELSE status END AS new_status
+    FROM ordered"""
 
 
 @query("ops27_check_decisions", _decision_sql(False))

@@ -134,10 +134,11 @@ def ingest_run(spark, sf):
 
 @query(
     "val06_migrate",
-    f"""WITH {sources.DIRTY} SELECT *, source_count = loaded_count + quarantined_count AS match,
-      {rnd("loaded_count * 100e0 / source_count", 2)} AS success_rate,
-      CASE WHEN loaded_count * 100e0 / source_count >= 95 THEN 'completed' ELSE 'failed' END AS status, CAST(NULL AS VARCHAR) AS error FROM (SELECT
-      (SELECT count(*) FROM dirty) AS source_count, (SELECT count(*) FROM good) AS loaded_count,
+    f"""WITH {sources.DIRTY} SELECT *, source_count = present_count + quarantined_count AS match,
+      {rnd("present_count * 100e0 / source_count", 2)} AS success_rate,
+      CASE WHEN present_count * 100e0 / source_count >= 95 THEN 'completed' ELSE 'failed' END AS status, CAST(NULL AS VARCHAR) AS error FROM (SELECT
+      (SELECT count(*) FROM dirty) AS source_count, (SELECT count(DISTINCT case_id) FROM good) AS loaded_count,
+      (SELECT count(*) FROM good) AS present_count, CAST(0 AS BIGINT) AS remaining_count,
       (SELECT count(*) FROM failed) AS quarantined_count, (SELECT count(DISTINCT record_id) FROM failed) AS failed_records)""",
 )
 def migrate(spark, sf):

@@ -45,7 +45,7 @@ def test_quarantine_widens(spark, folder):
     sinks.write_quarantine(sinks.quarantine_rows(rows, at, "R1", F.col("reason")), folder("q"))
     sinks.write_quarantine(sinks.quarantine_rows(rows, at, "R2", "short").withColumn("extra", F.lit(1)), folder("q"))
     found = sinks.read_quarantine(spark, folder("q")).orderBy("rule_id").collect()
-    assert [len(r.reason) for r in found] == [500, 5] and found[0].extra is None and found[0].record_data == '{"a":1}'
+    assert [len(r.reason) for r in found] == [600, 5] and found[0].extra is None and found[0].record_data == '{"a":1}'
 
 
 def test_audit_lines_skip_malformed(spark, folder):
@@ -100,3 +100,23 @@ def test_report_names_unsupported_columns(spark):
     assert found.summary.first().overall_completeness_pct == 100.0
     with pytest.raises(ValueError):
         report.quality_report(df.select("tags"), date(2024, 1, 1))
+
+
+def test_migration_counts_come_from_the_target(spark, sf, folder):
+    source = sources._dirty(spark, sf)
+    first = migration.migrate(spark, source, folder("t"), folder("q")).first()
+    held, failures = spark.read.parquet(folder("t")).count(), spark.read.parquet(folder("q")).count()
+    assert first.loaded_count == held and first.remaining_count == 0 and first.present_count >= held
+    again = migration.migrate(spark, source, folder("t"), folder("q")).first()
+    assert again.loaded_count == 0 and again.present_count == first.present_count
+    assert spark.read.parquet(folder("q")).count() == failures
+
+
+def test_aborted_migration_reports_what_remains(spark, sf, folder, monkeypatch):
+    def broken(*_):
+        raise OSError("disk full " + "x" * 500)
+
+    monkeypatch.setattr(migration, "insert_missing", broken)
+    row = migration.migrate(spark, sources._dirty(spark, sf), folder("t"), folder("q")).first()
+    assert row.status == "aborted" and row.loaded_count == 0 and row.present_count == 0 and row.remaining_count > 0
+    assert row.error.endswith("x" * 500)
