@@ -42,8 +42,10 @@ LENGTH = 100
 SEED = 24
 STRETCH = 16
 #: Bytes of text in one block of documents, and the text whose anchors one bucket gets.
-BLOCK_BYTES = 16 << 20
-CHUNK_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes that are fingerprinted at a time, which bounds a task's memory, and that are put together.
+CHUNK_BYTES = 1 << 18
+GATHER_BYTES = 1 << 21
 TEXT, RUNS, COVERED, OPEN, STRETCHES = range(5)
 _ROWS = "kind int, place long, numbers binary, bytes binary"
 
@@ -163,7 +165,7 @@ def _find_runs(length: int, seed: int, buckets: int, blocks: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, all_ids = batch["text"], batch["doc_id"].to_numpy()
-            for start, stop in text_chunks(texts, CHUNK_BYTES):
+            for start, stop in text_chunks(texts, GATHER_BYTES):
                 own = [t.encode() for t in pc.fill_null(texts.slice(start, stop - start), "").to_pylist()]
                 found: list[dict[str, np.ndarray]] = []
                 group: list[tuple[int, int, bytes]] = []
@@ -242,7 +244,7 @@ def _texts(blocks: int):
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in text_chunks(batch["text"], 4 * CHUNK_BYTES):
+            for start, stop in text_chunks(batch["text"], GATHER_BYTES):
                 ids = batch["doc_id"].slice(start, stop - start).to_numpy()
                 own = [t.encode() for t in pc.fill_null(batch["text"].slice(start, stop - start), "").to_pylist()]
                 block, out = block_of(ids, blocks), []
