@@ -9,42 +9,68 @@ from casemill.functions.text import email_domain, strip
 
 # Permissions, and the permissions of each role.
 PERMISSIONS = (
-    "READ_DASHBOARD READ_CHARTS READ_KPIS READ_FILTERS READ_RCA READ_QUALITY READ_RISK READ_STATISTICS "
-    "READ_REPORTS EXPORT_DATA READ_ANNULATIONS CREATE_ANNULATION APPROVE_ANNULATION READ_CAPACITY "
-    "MANAGE_CAPACITY READ_AUDIT READ_EVIDENCE APPROVE_LEGAL APPROVE_VP MANAGE_USERS MANAGE_ROLES "
-    "MANAGE_CONFIG INGEST_DATA MANAGE_OWN_PARTNER"
-).split()
-_BASIC = "READ_DASHBOARD READ_CHARTS READ_KPIS READ_FILTERS READ_RCA READ_QUALITY"
+    "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY", "READ_RISK",
+    "READ_STATISTICS", "READ_REPORTS", "EXPORT_DATA", "READ_ANNULATIONS", "CREATE_ANNULATION",
+    "APPROVE_ANNULATION", "READ_CAPACITY", "MANAGE_CAPACITY", "READ_AUDIT", "READ_EVIDENCE", "APPROVE_LEGAL",
+    "APPROVE_VP", "MANAGE_USERS", "MANAGE_ROLES", "MANAGE_CONFIG", "INGEST_DATA", "MANAGE_OWN_PARTNER",
+)
 ROLE_PERMISSIONS = {
-    "SYSTEM_ADMIN": " ".join(PERMISSIONS),
-    "OPERATIONS_LEAD": f"{_BASIC} READ_RISK READ_STATISTICS READ_REPORTS EXPORT_DATA READ_ANNULATIONS READ_CAPACITY "
-    "MANAGE_CAPACITY READ_EVIDENCE",
-    "ANALYST": f"{_BASIC} READ_RISK READ_STATISTICS READ_REPORTS EXPORT_DATA READ_ANNULATIONS",
-    "LEGAL_APPROVER": f"{_BASIC} READ_ANNULATIONS APPROVE_LEGAL APPROVE_ANNULATION READ_AUDIT",
-    "VP_APPROVER": f"{_BASIC} READ_ANNULATIONS APPROVE_VP APPROVE_ANNULATION READ_AUDIT",
-    "BUSINESS_OWNER": f"{_BASIC} READ_REPORTS EXPORT_DATA READ_ANNULATIONS CREATE_ANNULATION READ_CAPACITY",
-    "AUDITOR": f"{_BASIC} READ_AUDIT READ_EVIDENCE READ_ANNULATIONS",
-    "PARTNER_ADMIN": f"{_BASIC} MANAGE_OWN_PARTNER",
-    "PARTNER_OPERATOR": f"{_BASIC} READ_ANNULATIONS",
-    "CONTRACTOR_OPERATOR": f"{_BASIC} READ_STATISTICS",
-    "INTERN_READONLY": f"{_BASIC} INGEST_DATA",
+    "SYSTEM_ADMIN": PERMISSIONS,
+    "OPERATIONS_LEAD": (
+        "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY", "READ_RISK",
+        "READ_STATISTICS", "READ_REPORTS", "EXPORT_DATA", "READ_ANNULATIONS", "READ_CAPACITY",
+        "MANAGE_CAPACITY", "READ_EVIDENCE",
+    ),
+    "ANALYST": (
+        "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY", "READ_RISK",
+        "READ_STATISTICS", "READ_REPORTS", "EXPORT_DATA", "READ_ANNULATIONS",
+    ),
+    "LEGAL_APPROVER": (
+        "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY",
+        "READ_ANNULATIONS", "APPROVE_LEGAL", "APPROVE_ANNULATION", "READ_AUDIT",
+    ),
+    "VP_APPROVER": (
+        "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY",
+        "READ_ANNULATIONS", "APPROVE_VP", "APPROVE_ANNULATION", "READ_AUDIT",
+    ),
+    "BUSINESS_OWNER": (
+        "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY",
+        "READ_REPORTS", "EXPORT_DATA", "READ_ANNULATIONS", "CREATE_ANNULATION", "READ_CAPACITY",
+    ),
+    "AUDITOR": (
+        "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY", "READ_AUDIT",
+        "READ_EVIDENCE", "READ_ANNULATIONS",
+    ),
+    "PARTNER_ADMIN": (
+        "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY",
+        "MANAGE_OWN_PARTNER",
+    ),
+    "PARTNER_OPERATOR": (
+        "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY",
+        "READ_ANNULATIONS",
+    ),
+    "CONTRACTOR_OPERATOR": (
+        "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY",
+        "READ_STATISTICS",
+    ),
+    "INTERN_READONLY": (
+        "READ_DASHBOARD", "READ_CHARTS", "READ_KPIS", "READ_FILTERS", "READ_RCA", "READ_QUALITY",
+        "INGEST_DATA",
+    ),
 }
 ROLES = tuple(ROLE_PERMISSIONS)
 # Head-count limits, and roles whose users must have an expiry.
 ROLE_LIMITS = {"INTERN_READONLY": 12, "CONTRACTOR_OPERATOR": 20, "BUSINESS_OWNER": 10}
 EXPIRING_ROLES = ("INTERN_READONLY", "CONTRACTOR_OPERATOR")
 # E-mail shape, longest address, suffix that is always authorised.
-EMAIL_SHAPE = (
-    r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
-    r"(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$"
-)
+EMAIL_SHAPE = r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$"  # noqa: E501
 EMAIL_LIMIT = 254
 CORPORATE_SUFFIX = "@corp.example"
 
 
 def permission_matrix(spark: SparkSession) -> DataFrame:
     """(role, permission), a fixed table of about a hundred rows."""
-    rows = [(role, p) for role, listed in ROLE_PERMISSIONS.items() for p in listed.split()]
+    rows = [(role, p) for role, listed in ROLE_PERMISSIONS.items() for p in listed]
     return spark.createDataFrame(rows, "role string, permission string")
 
 

@@ -137,7 +137,7 @@ _ASKING = (*ROLES, "STRANGER")
 @query(
     "ops08_authorize",
     f"""WITH log AS (SELECT event_id, {pick_sql(_ASKING, "user_id")} AS role, {pick_sql(_ASKED, "event_id")} AS permission FROM events),
-      matrix(role, permission) AS (VALUES {", ".join(f"('{r}', '{p}')" for r, listed in access.ROLE_PERMISSIONS.items() for p in listed.split())})
+      matrix(role, permission) AS (VALUES {", ".join(f"('{r}', '{p}')" for r, listed in access.ROLE_PERMISSIONS.items() for p in listed)})
     SELECT event_id, role, permission, EXISTS (SELECT 1 FROM matrix m WHERE m.role = log.role AND m.permission = log.permission) AS allowed FROM log""",
 )
 def authorize(spark, sf):

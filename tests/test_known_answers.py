@@ -349,7 +349,7 @@ def test_transitions(spark):
 
 def test_roles_and_approvals(spark):
     matrix = access.permission_matrix(spark)
-    assert matrix.count() == sum(len(p.split()) for p in access.ROLE_PERMISSIONS.values())
+    assert matrix.count() == sum(len(p) for p in access.ROLE_PERMISSIONS.values())
     rules = approvals.approval_rules(spark)
     steps = approvals.expand_steps(spark.createDataFrame([(1, "RBAC_CHANGE"), (2, "DATA_DELETION")], "request_id int, operation string"), rules)
     assert sorted((r.request_id, r.step_order, r.approver_role) for r in steps.collect()) == [
