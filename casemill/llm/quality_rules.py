@@ -169,5 +169,10 @@ def judged(
 
 
 def keep_good(docs: DataFrame, text: str = "text", **tables: Sequence[Rule]) -> DataFrame:
-    """The rows that pass every rule, with their own columns."""
-    return judged(docs, text, **tables).where("kept").select("doc.*")
+    """The rows that pass every rule, with their own columns.
+
+    The row number keeps the filter above the projections: pushed below them it would repeat their
+    expressions inside one another.
+    """
+    numbered = judged(docs, text, **tables).select("doc", "kept", F.monotonically_increasing_id().alias("row"))
+    return numbered.where(F.col("kept") & (F.col("row") >= 0)).select("doc.*")
