@@ -1,19 +1,19 @@
-"""Exact quantiles that hold no group in one task.
+"""Exact quantiles and ranks that hold no group in one task.
 
 ``F.percentile`` keeps one map of distinct values per group. That is the right tool for handling
 times in whole days, where the map stays small however many rows there are. For a column of
-arbitrary numbers the map grows with the data, so :func:`quantiles_of_counts` finds the wanted ranks
-by counting instead: rows become (value, count) pairs, the pairs are counted in monotone buckets,
-and only the buckets that hold a wanted rank are sorted.
+arbitrary numbers rows become (value, count) pairs, the pairs are dealt by ranges of (group, value)
+that Spark draws from the data, so values that lie close together are split like any others, and the
+place of a value is the count of the ranges before its own plus the running count inside it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-BUCKETS_PER_LOG_UNIT = 64
+from casemill.session import durable
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -21,70 +21,43 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bucket_of(value: Column) -> Column:
-    """Monotone bucket number: signed logarithm, at most about 90,000 buckets over all doubles."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BUCKETS_PER_LOG_UNIT))
-
-
 def with_ranks(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add to (by…, v, n) the rows placed before each value and the group total: ``before``, ``total``.
 
-    Two running sums replace one over the whole group: first over the buckets of a group, then over
-    the values inside each bucket.
+    The dealt pairs are stored with the number of their range, so that both passes see the same ranges.
     """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
-    keyed = counts.where(F.col("v").isNotNull()).select("*", key.alias("_k"), bucket_of(F.col("v")).alias("_b"))
-    places = _bucket_places(keyed)
-    inside = Window.partitionBy("_k", "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        keyed.join(places, ["_k", "_b"])
-        .withColumn("before", F.col("_before") + F.sum("n").over(inside) - F.col("n"))
-        .select(*counts.columns, "before", F.col("_total").alias("total"))
-    )
-
-
-def _bucket_places(keyed: DataFrame) -> DataFrame:
+    keyed = counts.where(F.col("v").isNotNull()).select("*", key.alias("_k"))
+    dealt = durable(keyed.repartitionByRange(parts, "_k", "v").withColumn("_range", F.spark_partition_id()))
     group = Window.partitionBy("_k")
-    running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    places = (
+        dealt.groupBy("_k", "_range").agg(F.sum("n").alias("_rn"))
+        .select("_k", "_range", F.coalesce(F.sum("_rn").over(earlier), F.lit(0)).alias("_before"), F.sum("_rn").over(group).alias("_total"))
+    )
+    inside = Window.partitionBy("_k", "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        keyed.groupBy("_k", "_b")
-        .agg(F.sum("n").alias("_bn"))
-        .select(
-            "_k",
-            "_b",
-            (F.sum("_bn").over(running) - F.col("_bn")).alias("_before"),
-            F.sum("_bn").over(running).alias("_upto"),
-            F.sum("_bn").over(group).alias("_total"),
-        )
+        dealt.withColumn("_inside", F.sum("n").over(inside) - F.col("n"))
+        .join(places, ["_k", "_range"])
+        .select(*counts.columns, (F.col("_before") + F.col("_inside")).alias("before"), F.col("_total").alias("total"))
     )
 
 
 def quantiles_of_counts(counts: DataFrame, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles per group of a (by…, v, n) table, one column per entry of ``probs``."""
     key = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
-    keyed = counts.where(F.col("v").isNotNull()).select(
-        "v", "n", key.alias("_k"), bucket_of(F.col("v")).alias("_b")
-    )
-    ranks = {}
+    ranked = with_ranks(counts, by).select("v", "before", "total", (F.col("before") + F.col("n")).alias("upto"), key.alias("_k"))
+    position = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    picks = [F.max("total").alias("total")]
     for name, p in probs.items():
-        position = (F.col("_total") - 1) * F.lit(float(p))
-        ranks[name] = (F.floor(position), F.ceil(position), position)
-    holds_rank = F.lit(False)
-    for low, high, _ in ranks.values():
-        for rank in (low, high):
-            holds_rank = holds_rank | ((rank >= F.col("_before")) & (rank < F.col("_upto")))
-    wanted = _bucket_places(keyed).where(holds_rank).select("_k", "_b", "_before", "_total")
-    inside = Window.partitionBy("_k", "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = keyed.join(wanted, ["_k", "_b"]).withColumn("_cum", F.col("_before") + F.sum("n").over(inside))
-    picks = [F.max("_total").alias("_total")]
-    for name, (low, high, _) in ranks.items():
-        picks.append(F.min(F.when(F.col("_cum") > low, F.col("v"))).alias(f"_lo_{name}"))
-        picks.append(F.min(F.when(F.col("_cum") > high, F.col("v"))).alias(f"_hi_{name}"))
+        for side, rank in (("lo", F.floor(position(p))), ("hi", F.ceil(position(p)))):
+            picks.append(F.min(F.when((rank >= F.col("before")) & (rank < F.col("upto")), F.col("v"))).alias(f"_{side}_{name}"))
     picked = ranked.groupBy("_k").agg(*picks)
     columns = [F.col(f"_k.{c}").alias(c) for c in by]
-    for name, (low, _, position) in ranks.items():
+    for name, p in probs.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        columns.append((lo + (hi - lo) * (position - low)).alias(name))
+        columns.append((lo + (hi - lo) * (position(p) - F.floor(position(p)))).alias(name))
     return picked.select(*columns)
 
 
