@@ -58,7 +58,7 @@ def pack(*columns: np.ndarray) -> bytes:
 
 def unpack(blob: bytes, columns: int) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(columns, 8, -1)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, -1)
+    return np.array(planes.transpose(0, 2, 1), order="C").view(np.int64).reshape(columns, -1)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -295,8 +295,9 @@ def _cut_stretches(length: int, stretch: int, buckets: int, blocks: int):
         start = first[run] + np.maximum(at[run] - (level * stretch + stretch - 1), 0)
         stop = first[run] + np.minimum(at[run] - level * stretch, more[run])
         where_start, where_stop = base[run] + start, base[run] + stop
-        prints = _prints_in_parts(data, where_start, where_stop, length)
-        core, whole = prints
+        # What all starts of a whole stretch have in common, also where this one is cut short by its run.
+        common = base[run] + first[run] + at[run] - level * stretch
+        core, whole = _prints_in_parts(data, where_start, where_stop, common, length, stretch)
         owner = ids[run]
         order = np.lexsort((start, owner, whole, core))
         lead = _first_of(order, core, whole)
@@ -313,7 +314,9 @@ def _cut_stretches(length: int, stretch: int, buckets: int, blocks: int):
     return cut
 
 
-def _prints_in_parts(data: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _prints_in_parts(
+    data: np.ndarray, start: np.ndarray, stop: np.ndarray, common: np.ndarray, length: int, stretch: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the bytes common to a stretch and of all its bytes; the data is taken part by part."""
     core, whole = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
     order = np.argsort(start, kind="stable")
@@ -324,7 +327,7 @@ def _prints_in_parts(data: np.ndarray, start: np.ndarray, stop: np.ndarray, leng
         own = order[at:upto]
         high = int(stop[own].max()) + length
         prints = Fingerprints(data[low:high])
-        core[own] = prints.of(stop[own] - low, start[own] + length - low).astype(np.int64)
+        core[own] = prints.of(common[own] - low, common[own] + length - stretch + 1 - low).astype(np.int64)
         shape = (stop[own] - start[own]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         whole[own] = (prints.of(start[own] - low, stop[own] + length - low) ^ shape).astype(np.int64)
         at = upto
