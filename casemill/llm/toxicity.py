@@ -27,10 +27,10 @@ from casemill.llm.words import text_chunks
 
 NGRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 20
-FEATURES = 1 << 15
+FEATURES = 1 << 13
 ROWS_PER_CLASS = 8192
 _SLICES = 64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,20 +104,25 @@ def _fit(ratio: np.ndarray, rounds: int = 150, penalty: float = 1e-5):
         lists = [np.frombuffer(b.as_py(), np.int32) for b in table["features"]]
         order = sorted(range(len(lists)), key=lambda i: (y[i], lists[i].tobytes()))
         lists, y = [lists[i] for i in order], y[order]
-        sizes = np.array([len(x) for x in lists])
-        index = np.concatenate(lists)
-        row = np.repeat(np.arange(len(lists)), sizes)
-        value = ratio[index]
-        norm = np.sqrt(np.maximum(np.bincount(row, value * value, len(lists)), 1e-12))
-        value = value / norm[row]
         share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+        parts = []
+        for at in range(0, len(lists), 512):
+            own = lists[at : at + 512]
+            row = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
+            index = np.concatenate(own)
+            value = ratio[index]
+            norm = np.sqrt(np.maximum(np.bincount(row, value * value, len(own)), 1e-12))
+            parts.append((slice(at, at + len(own)), row, index, (value / norm[row]).astype(np.float32)))
         w, b = np.zeros(len(ratio)), 0.0
         v, c = w.copy(), b
         for step in range(1, rounds + 1):
-            p = 1 / (1 + np.exp(-(np.bincount(row, value * v[index], len(lists)) + c)))
-            error = (p - y) * share
-            w_next = v - 3.5 * (np.bincount(index, value * error[row], len(ratio)) + penalty * v)
-            b_next = c - 3.5 * error.sum()
+            slope, shift = penalty * v, 0.0
+            for rows, row, index, value in parts:
+                margin = np.bincount(row, value * v[index], rows.stop - rows.start) + c
+                error = (1 / (1 + np.exp(-margin)) - y[rows]) * share[rows]
+                slope += np.bincount(index, value * error[row], len(ratio))
+                shift += error.sum()
+            w_next, b_next = v - 3.5 * slope, c - 3.5 * shift
             momentum = (step - 1) / (step + 2)
             v, c = w_next + momentum * (w_next - w), b_next + momentum * (b_next - b)
             w, b = w_next, b_next
