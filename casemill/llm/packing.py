@@ -23,7 +23,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,28 +39,69 @@ END_ID = 1
 REMEMBERED_WORDS = 400_000
 
 
+#: Words of letters that are tokenised as one text.
+JOINED_WORDS = 1000
+#: Marks that end a word without touching its ids.
+_TAILS = (".", ",")
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, and which of its ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
-
-
-def token_ids(texts: pa.Array, path: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    tokenizer = Tokenizer.from_file(path)
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    if suffix:
+        ends[[number for entry, number in tokenizer.get_vocab().items() if entry.endswith(suffix)]] = True
+    return tokenizer, ends
+
+
+def word_ids(words: list[str], path: str) -> list[np.ndarray]:
+    """The ids of each word. Words of letters alone are one unit of the tokenizer each, so many of them are
+    tokenised as one text and told apart by the ids that end a word; if these do not tell, or a word holds
+    anything else, it is tokenised alone."""
+    tokenizer, ends = _tokenizer(path)
+    encode = lambda texts: [np.array(f.ids, np.uint32) for f in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+    alone = [i for i, w in enumerate(words) if not w.isalpha()]
+    plain = [i for i, w in enumerate(words) if w.isalpha()]
+    groups = [plain[at : at + JOINED_WORDS] for at in range(0, len(plain), JOINED_WORDS)]
+    for group, ids in zip(groups, encode([" ".join(words[i] for i in group) for group in groups])):
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != len(group):
+            alone += group
+            continue
+        for i, start, stop in zip(group, [0, *stops[:-1].tolist()], stops.tolist()):
+            out[i] = ids[start:stop].copy()
+    for i, ids in zip(alone, encode([words[i] for i in alone])):
+        out[i] = ids
+    return out
+
+
+def token_ids(texts: pa.Array, path: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in order, number of ids per text). The tokenizer never looks across white space,
-    so every distinct word is tokenised once."""
+    ignores case and separates letters from marks, so every distinct word is tokenised once, without case
+    and without a full stop or comma at its end."""
     words, ends = word_lists(texts)
     coded = words.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     if len(known) > REMEMBERED_WORDS:
         known.clear()
-    new = [w for w in distinct if w not in known]
-    for w, found in zip(new, _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-        known[w] = found.ids
-    parts = [known[w] for w in distinct]
+    bodies, tails = [], []
+    for word in distinct:
+        # Special tokens are told by their case, so a word that may hold one stays as it is.
+        body = word if "<" in word else word.lower() if word.isascii() else word
+        tail = body[-1] in _TAILS and body[:-1].isalpha()
+        bodies.append(body[:-1] if tail else body)
+        tails.append(body[-1] if tail else "")
+    new = list(dict.fromkeys(w for w in (*bodies, *_TAILS) if w not in known))
+    known.update(zip(new, word_ids(new, path)))
+    parts = [np.concatenate([known[b], known[t]]) if t else known[b] for b, t in zip(bodies, tails)]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum()))
+    flat = np.concatenate([np.zeros(0, np.uint32), *parts])
     first = np.cumsum(sizes) - sizes
     index = coded.indices.to_numpy()
     word_sizes = sizes[index]
@@ -73,7 +113,7 @@ def token_ids(texts: pa.Array, path: str, known: dict[str, list[int]]) -> tuple[
 
 
 @lru_cache(maxsize=2)
-def _remembered(path: str) -> dict[str, list[int]]:
+def _remembered(path: str) -> dict[str, np.ndarray]:
     """What this worker process has tokenised so far, across its tasks."""
     return {}
 
