@@ -134,10 +134,11 @@ def judged(
     rows, names = featured(with_rule(rows, rules))
     rows = durable(rows.withColumn("label", F.when(F.col("rule_verdict").isNotNull(), (F.col("rule_verdict") == "block").cast("double"))))
     labels = {r["label"]: r["count"] for r in rows.where(F.col("label").isNotNull()).groupBy("label").count().collect()}
-    base = rows.select("page_id", "host", "path", "rule")
     if len(labels) < 2:
-        fixed = "block" if 1.0 in labels else "allow"
-        return base.select("*", F.coalesce(rows["rule_verdict"], F.lit(fixed)).alias("verdict"), F.lit(fixed).alias("by_trees"))
+        fixed = F.lit("block" if 1.0 in labels else "allow")
+        return rows.select(
+            "page_id", "host", "path", "rule", F.coalesce("rule_verdict", fixed).alias("verdict"), fixed.alias("by_trees")
+        )
     overall = labels[1.0] / sum(labels.values())
     for n in (1, 2):
         stats = rows.where(F.col("label").isNotNull()).groupBy(F.col(f"s_{n}").alias("_s")).agg(
