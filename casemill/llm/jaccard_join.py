@@ -8,10 +8,11 @@ prefix join.
    of one class alone are never moved again: they count in the size only.
 3. Prefix filter: with shingles ordered from rare to frequent, similar classes share one among the first
    n - ceil(t n) + 1. Shingles of one class come first, so a class with too many of them is out.
-4. Classes with the same shared prefix and size collapse into one group. Groups are placed in bounded
-   blocks, alike ones together; blocks that share a prefix shingle form candidate pairs. A pair of blocks
+4. Classes with the same shared prefix and size collapse into one group. Groups that reach each other over
+   prefix shingles are a family and are placed in one block, or in several bounded ones if they are many;
+   blocks that share a prefix shingle form candidate pairs. A pair of blocks
    is expanded and verified in one task, all overlaps of a class with a block in one counting step, and
-   gives a spanning forest of its links, so a large set of near copies never becomes rows of pairs.
+   a task gives a spanning forest of its links, so a large set of near copies never becomes rows of pairs.
    First every block meets the first block of each shingle only; most near copies are connected then.
    Afterwards only classes whose shingles still lie in several components meet all blocks that are left.
 5. Components come from min-label rounds with shortcuts, on stored tables.
@@ -136,8 +137,15 @@ def _deal(width: int, buckets: int):
     return deal
 
 
-def _shared(key: tuple, table: pa.Table) -> pa.Table:
-    """To each class of one bucket the shingles that other classes have too, with their class counts."""
+def _shared(groups: int):
+    def shared(key: tuple, table: pa.Table) -> pa.Table:
+        return _shared_of(table, groups)
+
+    return shared
+
+
+def _shared_of(table: pa.Table, groups: int) -> pa.Table:
+    """Of one bucket the (class, shingle) pairs whose shingle other classes have too, by group of classes."""
     sigs, shingles = [], []
     for s, p, h in zip(table["sigs"].to_pylist(), table["places"].to_pylist(), table["shingles"].to_pylist()):
         sigs.append(np.frombuffer(s, np.int64)[np.frombuffer(zlib.decompress(p), np.uint16)])
@@ -157,34 +165,38 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     _, inverse, counts = np.unique(shingles, return_inverse=True, return_counts=True)
     counts = counts[inverse]
     order = np.flatnonzero(counts > 1)
-    order = order[np.argsort(sigs[order], kind="stable")]
+    order = order[np.argsort(sigs[order] % groups, kind="stable")]
     sigs, shingles, counts = sigs[order], shingles[order], counts[order].astype(np.int32)
-    cuts = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, np.int64)
-    ends = np.r_[cuts[1:], len(sigs)] if len(sigs) else cuts
-    return pa.table({
-        "sig": pa.array(sigs[cuts], pa.int64()),
-        "k": pa.array(ends - cuts, pa.int64()),
-        "shingles": pa.array([shingles[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-        "counts": pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-    })
+    cuts = np.searchsorted(sigs % groups, np.arange(groups + 1))
+    own = [g for g in range(groups) if cuts[g + 1] > cuts[g]]
+    part = lambda values: pa.array([values[cuts[g] : cuts[g + 1]].tobytes() for g in own], pa.binary())
+    return pa.table({"g": pa.array(own, pa.int64()), "sigs": part(sigs), "shingles": part(shingles), "counts": part(counts)})
 
 
 def _prefixes(threshold: tuple[int, int]):
-    """Classes of one group of rows with all their shared shingles (sorted) and their shared prefix."""
+    """Classes of one group of rows with all their shared shingles (sorted) and the shared part of their prefix."""
     part, whole = threshold
 
-    def prefixes(key: tuple, table: pa.Table) -> pa.Table:
-        by_class: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
-        for rep, n, s, c in zip(*(table[x].to_pylist() for x in ("rep", "n", "shingles", "counts"))):
-            by_class.setdefault((rep, n), []).append((s, c))
+    def prefixes(key: tuple, table: pa.Table, classes: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in table[c])])
+        sigs, shingles, counts = read("sigs", np.int64), read("shingles", np.int64), read("counts", np.int32)
+        known, sizes = classes["sig"].to_numpy(), classes["n"].to_numpy()
+        reps = classes["rep"].to_numpy()
+        order = np.argsort(known, kind="stable")
+        known, sizes, reps = known[order], sizes[order], reps[order]
+        held = np.bincount(np.searchsorted(known, sigs), minlength=len(known))
+        # Shingles of the class alone come first in the prefix; what is left of it are shared ones.
+        need = held - -(-part * sizes // whole) + 1
+        use = (need > 0)[np.searchsorted(known, sigs)]
+        sigs, shingles, counts = sigs[use], shingles[use], counts[use]
+        order = np.lexsort((shingles, counts, sigs))
+        sigs, shingles = sigs[order], shingles[order]
+        cuts = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, np.int64)
         out = []
-        for (rep, n), parts in by_class.items():
-            shingles = np.frombuffer(b"".join(s for s, _ in parts), np.int64)
-            counts = np.frombuffer(b"".join(c for _, c in parts), np.int32)
-            need = n - -(-part * n // whole) + 1 - (n - len(shingles))
-            if need > 0:
-                prefix = shingles[np.lexsort((shingles, counts))[:need]]
-                out.append((rep, n, np.sort(shingles).tobytes(), np.sort(prefix).tolist()))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sigs)]):
+            at = int(np.searchsorted(known, sigs[a]))
+            prefix = np.sort(shingles[a : a + need[at]])
+            out.append((int(reps[at]), int(sizes[at]), np.sort(shingles[a:b]).tobytes(), prefix.tolist()))
         columns = list(zip(*out)) if out else [[]] * 4
         kinds = [("rep", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64()))]
         return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns)})
@@ -209,16 +221,17 @@ def _verify(threshold: tuple[int, int]):
     part, whole = threshold
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                read = lambda c, row=row: np.frombuffer(row[c], np.int64)
+            for at_row in range(batch.num_rows):
+                # One pair of blocks in memory at a time.
+                read = lambda c, batch=batch, i=at_row: np.frombuffer(batch[c][i].as_buffer(), np.int64)
                 reps, ns, sizes, shingles = (read(f"b_{c}") for c in ("reps", "ns", "sizes", "shingles"))
                 owner = np.repeat(np.arange(len(reps)), sizes)
                 order = np.argsort(shingles, kind="stable")
                 shingles, owner = shingles[order], owner[order]
                 own_reps, own_ns, ends = read("a_reps"), read("a_ns"), np.cumsum(read("a_sizes"))
                 own = read("a_shingles")
-                parent: dict[int, int] = {}
 
                 def root(x: int, parent=parent) -> int:
                     while parent.setdefault(x, x) != x:
@@ -263,13 +276,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _families(postings: DataFrame) -> DataFrame:
+    """(grp, near, family): the smallest group that shares a shingle with one sharing a shingle with it, and
+    the smallest group reachable over shared shingles at all."""
+
+    def closer(key: DataFrame) -> DataFrame:
+        least = postings.join(key, "grp").groupBy("shingle").agg(F.min("key").alias("key"))
+        return postings.join(least, "shingle").groupBy("grp").agg(F.min("key").alias("key"))
+
+    key = durable(closer(postings.select("grp", F.col("grp").alias("key")).distinct()))
+    near = key
+    while True:
+        far = key.select(F.col("grp").alias("key"), F.col("key").alias("far"))
+        after = closer(key).join(far, "key", "left").select("grp", F.least("key", F.coalesce("far", "key")).alias("key"))
+        after = durable(after)
+        changed = after.join(key.withColumnRenamed("key", "old"), "grp").where("key < old").limit(1).count()
+        key = after
+        if not changed:
+            return near.select("grp", F.col("key").alias("near")).join(key.withColumnRenamed("key", "family"), "grp")
+
+
 def _blocks(classes: DataFrame, size: int, n: int) -> DataFrame:
-    """(block, …): classes with one ``key`` together, in blocks of about ``size``; a large key in several."""
-    members = classes.groupBy("key").agg(F.count(F.lit(1)).alias("_m"))
-    parts = F.ceil(F.col("_m") / size)
-    alone = F.xxhash64("key", F.pmod(F.xxhash64("rep"), parts))
-    together = F.pmod(F.xxhash64("key"), F.lit(max(1, n // size))) 
-    return classes.join(members, "key").withColumn("block", F.when(parts > 1, alone).otherwise(together)).drop("_m")
+    """(block, …): classes of one ``family`` together, in blocks of about ``size``.
+
+    A larger family is split between its near groups, and one of these by class if it alone is too large.
+    """
+    members = classes.groupBy("family").agg(F.count(F.lit(1)).alias("_m"))
+    inner = classes.groupBy("near").agg(F.count(F.lit(1)).alias("_k")).withColumnRenamed("near", "_near")
+    parts, slices = F.ceil(F.col("_m") / size), F.ceil(F.col("_k") / size)
+    by_class = F.xxhash64(F.lit("class"), "near", F.pmod(F.xxhash64("rep"), slices))
+    by_near = F.xxhash64(F.lit("near"), "family", F.pmod(F.xxhash64("near"), parts))
+    together = F.pmod(F.xxhash64("family"), F.lit(max(1, n // size)))
+    block = F.when(slices > 1, by_class).when(parts > 1, by_near).otherwise(together)
+    joined = classes.join(members, "family").join(inner, F.col("near") == F.col("_near"))
+    return joined.withColumn("block", block).drop("_m", "_k", "_near")
 
 
 def _meet(left: DataFrame, right: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -295,39 +335,30 @@ def joined(
     classes = durable(
         rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep"))
     )
-    shared = durable(
+    groups = buckets
+    shared = (
         texts.where(F.col("doc_id").isNotNull())
         .mapInArrow(_deal(width, buckets), "bucket long, sigs binary, places binary, shingles binary")
-        .groupBy("bucket").applyInArrow(_shared, "sig long, k long, shingles binary, counts binary")
+        .groupBy("bucket").applyInArrow(_shared(groups), "g long, sigs binary, shingles binary, counts binary")
     )
-    enough = (
-        shared.groupBy("sig").agg(F.sum("k").alias("k")).join(classes, "sig")
-        .where(F.col("k") * threshold[1] >= F.col("n") * threshold[0]).select("sig", "rep", "n")
-    )
-    enough = durable(enough)
-    held = enough.join(shared, "sig")
-    groups = max(1, buckets)
     live = durable(
-        held.withColumn("g", F.pmod(F.xxhash64("rep"), F.lit(groups))).groupBy("g")
+        shared.groupBy("g").cogroup(classes.withColumn("g", F.pmod("sig", F.lit(groups))).groupBy("g"))
         .applyInArrow(_prefixes(threshold), "rep long, n long, shingles binary, prefix array<long>")
         # Equal prefix and size: one group, known by its smallest class.
         .withColumn("prefix_id", F.xxhash64("prefix", "n"))
     )
     group_ids = live.groupBy("prefix_id", "n").agg(F.min("rep").alias("grp"), F.first("prefix").alias("prefix"))
     postings = durable(group_ids.select("grp", F.explode("prefix").alias("shingle")))
-    # Two rounds of smallest neighbours bring groups that share prefix shingles under one key.
-    key = postings.select("grp", F.col("grp").alias("key")).distinct()
-    for _ in range(2):
-        least = postings.join(key, "grp").groupBy("shingle").agg(F.min("key").alias("key"))
-        key = postings.join(least, "shingle").groupBy("grp").agg(F.min("key").alias("key"))
-    key = durable(key)
-    of_group = live.select("rep", "n", "shingles", "prefix_id").join(
+    key = durable(_families(postings))
+    of_group = live.select("rep", "n", "prefix_id").join(
         group_ids.select("prefix_id", F.col("n").alias("_n"), "grp"), (F.col("_n") == F.col("n")) & (live["prefix_id"] == group_ids["prefix_id"])
-    ).select("rep", "n", "shingles", "grp")
+    ).select("rep", "grp")
     n_live = live.count()
     placed = durable(_blocks(of_group.join(key, "grp"), block_classes, n_live))
     packed = "block long, reps binary, ns binary, sizes binary, shingles binary"
-    blocks = durable(placed.groupBy("block").applyInArrow(_pack, packed))
+    sets = live.select("rep", "n", "shingles")
+    # The sets themselves move once, to their block.
+    blocks = durable(sets.join(placed.select("rep", "block"), "rep").groupBy("block").applyInArrow(_pack, packed))
     where = durable(placed.select("grp", "block").distinct().join(postings, "grp").select("shingle", "block").distinct())
     hubs = where.groupBy("shingle").agg(F.min("block").alias("a_block"))
     stars = where.join(hubs, "shingle").select("a_block", F.col("block").alias("b_block"))
@@ -335,7 +366,7 @@ def joined(
     first = durable(stars.union(inside).distinct())
     links = durable(_meet(blocks, blocks, first, threshold))
     labels = components(links)
-    label_of = placed.select("rep", "grp", "key", "block").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+    label_of = placed.select("rep", "grp", "block").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep")
     )
     label_of = durable(label_of)
@@ -347,11 +378,12 @@ def joined(
         postings.join(open_shingles, "shingle").join(label_of, "grp").where(F.col("label") != F.col("main")).select("rep", "shingle")
     )
     outside = durable(outside.distinct())
-    seekers = live.select("rep", "n", "shingles").join(outside.select("rep").distinct(), "rep").join(placed.select("rep", "key"), "rep")
+    seekers = outside.select("rep").distinct().join(placed.select("rep", "near", "family"), "rep")
     seekers = durable(_blocks(seekers, block_classes, max(1, outside.select("rep").distinct().count())))
     asked = outside.join(seekers.select("rep", "block"), "rep").select("shingle", F.col("block").alias("a_block")).distinct()
     rest = asked.join(where.withColumnRenamed("block", "b_block"), "shingle").select("a_block", "b_block").distinct()
-    more = _meet(seekers.groupBy("block").applyInArrow(_pack, packed), blocks, durable(rest), threshold)
+    asking = sets.join(seekers.select("rep", "block"), "rep").groupBy("block").applyInArrow(_pack, packed)
+    more = _meet(asking, blocks, durable(rest), threshold)
     final = components(links.union(more))
     by_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
         "sig", "sig2", F.col("n").alias("_n"), F.coalesce("label", "rep").alias("component")
