@@ -27,7 +27,7 @@ from casemill.llm.words import text_chunks
 
 NGRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 20
-FEATURES = 1 << 13
+FEATURES = 1 << 15
 ROWS_PER_CLASS = 8192
 _SLICES = 64
 _CHUNK = 1 << 18

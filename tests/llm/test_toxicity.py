@@ -45,3 +45,20 @@ def test_edges(spark):
     assert [r.score for r in toxicity.scored(docs, labels.limit(0), F.lit(True)).limit(2).collect()] == [0.5, 0.5]
     assert toxicity.scored(docs, labels.where("toxic = 1"), F.lit(True)).first().score == 1.0
     assert toxicity.scored(docs.limit(0), labels, F.lit(True)).count() == 0
+
+
+def test_many_telling_words_each_keep_their_ratio(spark):
+    """The n-grams of 300 common and 100 rarer telling words do not fit 8,192 features; the rarer ones count too."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    plain = [word() for _ in range(40)]
+    telling = [(word(), 6 if i < 300 else 3) for i in range(400)]
+    body = lambda: " ".join(rnd.choice(plain) for _ in range(12))
+    rows = [(f"{body()} {w} {body()}", 1, True) for w, times in telling for _ in range(times)]
+    rows += [(f"{body()} {body()}", 0, True) for _ in range(len(rows))]
+    rows += [(f"{body()} {w} {body()}", 1, False) for w, times in telling if times == 3]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y, _) in enumerate(rows)], "doc_id int, toxic int")
+    first_held = sum(trains for _, _, trains in rows)
+    found = toxicity.scored(docs, labels, F.col("doc_id") < first_held).where(F.col("doc_id") >= first_held)
+    assert found.where("score >= 0.5").count() >= 95
