@@ -1,7 +1,8 @@
 """A corpus pipeline of the training-data operators: each stage reads what its predecessor kept.
 
-Every stage but the last returns the columns of its input. Null ids pass the stages as documents of their
-own. Rows that repeat an id are one document from the near-duplicate stage on.
+Every stage but the last returns the columns of its input. Decisions are taken row by row: rows with a null
+or a repeated id are documents of their own, after all others or in order of their other columns. Only rows
+that repeat an id and are equal throughout are one document from the near-duplicate stage on.
 """
 
 from __future__ import annotations
@@ -14,9 +15,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from casemill.llm import jaccard_join, mixing, packing, quality_rules, suffix_dedup
 from casemill.session import durable
 
+ROW = "_row"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number for each row, in order of the id (null last) and of the other columns.
+
+    Unique whole ids are these numbers. Otherwise the rows are sorted by ranges, numbered and stored; numbers
+    depend on the data only, rows that are equal throughout are interchangeable.
+    """
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole and not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    order = ["doc_id", *[c for c in docs.columns if c != "doc_id"]]
+    placed = docs.orderBy(*[F.col(c).asc_nulls_last() for c in order]).withColumn("_at", F.monotonically_increasing_id())
+    placed = durable(placed.withColumn("_part", F.shiftright("_at", 33)))
+    before, offsets = 0, []
+    # One row per part of the sort.
+    for r in sorted(placed.groupBy("_part").count().collect()):
+        offsets.append((r["_part"], before - (r["_part"] << 33)))
+        before += r["count"]
+    starts = docs.sparkSession.createDataFrame(offsets, "_part long, _start long")
+    numbered = placed.join(F.broadcast(starts), "_part").withColumn(ROW, F.col("_at") + F.col("_start"))
+    return numbered.select(*docs.columns, ROW)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
     return quality_rules.keep_good(docs)
@@ -24,18 +48,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id stays."""
-    found = durable(jaccard_join.joined(docs).where(F.col("doc_id").isNotNull()))
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.where(F.col("doc_id").isNull()).union(docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
+        known = F.col("doc_id").isNotNull()
+        docs = docs.where(~known).union(docs.where(known).dropDuplicates())
+    rows = with_rows(docs)
+    gone = durable(jaccard_join.joined(rows, ROW).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(ROW)))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose what an earlier document, or an earlier part of the same one, already holds."""
-    kept = durable(suffix_dedup.deduplicated(docs, with_text=True).where(F.col("doc_id").isNotNull()))
-    kept = kept.select(F.col("doc_id").alias("_id"), "kept_text")
-    joined = docs.join(kept, F.col("doc_id") == F.col("_id"), "left")
+    rows = with_rows(docs)
+    kept = durable(suffix_dedup.deduplicated(rows, ROW, with_text=True))
+    joined = rows.join(kept.select(F.col("doc_id").alias(ROW), "kept_text"), ROW, "left")
     text = F.coalesce("kept_text", "text")
     length = docs.schema["n_chars"].dataType
     columns = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast(length)}
@@ -44,8 +69,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document appears as often as the mix takes it; what it does not take goes."""
-    copies = mixing.mixed(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(durable(copies), F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = with_rows(docs)
+    copies = mixing.mixed(rows, ROW).where("copies > 0").select(F.col("doc_id").alias(ROW), F.col("copies").alias("_copies"))
+    taken = rows.join(durable(copies), ROW)
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 

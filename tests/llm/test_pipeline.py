@@ -57,3 +57,30 @@ def test_run_is_the_stages(spark, tmp_path):
 def test_empty_corpus(spark, tmp_path):
     corpus(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_id_are_mixed_one_by_one(spark):
+    rows = [(None, clean(i, 2), "en", f"s{i % 3}", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, corpus(spark).schema)
+    total = sum(len(r[1].split()) for r in rows)
+    mixed = corpus_pipeline.mix(spark, docs, "").collect()
+    assert total * 1.5 - 60 <= sum(len(r.text.split()) for r in mixed) <= total * 1.5
+    assert len({mixed.count(r) for r in mixed}) == 2
+
+
+def test_only_the_near_copy_of_a_repeated_id_goes(spark):
+    rows = [(1, clean(1) + " the end", "en", "s", 0), (2, clean(1), "en", "s", 0), (2, clean(2), "en", "s", 0)]
+    rows += [(3, clean(3), "en", "s", 0)] * 2 + [(None, clean(2), "en", "s", 0), (None, clean(4), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, corpus(spark).schema)
+    found = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 9, r.text) for r in found) == [
+        (1, rows[0][1]), (2, clean(2)), (3, clean(3)), (9, clean(4)),
+    ]
+
+
+def test_row_numbers_follow_the_ids(spark):
+    rows = [(i % 7 or None, clean(i, 1), "en", "s", 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, corpus(spark).schema).repartition(5)
+    numbered = sorted((r[corpus_pipeline.ROW], r.doc_id or 9, r.text) for r in corpus_pipeline.with_rows(docs).collect())
+    assert [n for n, _, _ in numbered] == list(range(50))
+    assert [r[1:] for r in numbered] == sorted((i or 9, t) for i, t, *_ in rows)
