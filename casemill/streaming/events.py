@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 from typing import Any
@@ -23,8 +24,10 @@ THROTTLE_OUTPUT = StructType(
         StructField("send_id", LongType()),
         StructField("sent_at", DoubleType()),
         StructField("accepted", BooleanType()),
+        StructField("outcome", StringType()),
     ]
 )
+_DELAY, _NEVER_LATE = "spark.watermarkDelayMs", "2200-01-01 00:00:00"
 _THROTTLE_STATE = StructType([StructField("accepted", ArrayType(DoubleType()))])
 REQUEST_OUTPUT = StructType(
     [
@@ -45,7 +48,8 @@ def throttle_stream(
     """Accept or refuse (sender, send_id, sent_at) as it arrives; only accepted events use the allowance.
 
     The state of a sender is the accepted times of its trailing window, at most ``limit`` of them, and
-    is dropped once event time has moved a window beyond the last one.
+    is dropped once event time has moved a window beyond the last one. Sends at or before the watermark
+    come too late for it: they are refused with the outcome ``late`` and change nothing.
     """
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,21 +58,37 @@ def throttle_stream(
             return
         accepted = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "send_id"])
-        outcome = []
-        for at in rows["at"]:
+        # In order of time, so the late ones come first.
+        late = int((rows["at"] * 1000 <= state.getCurrentWatermarkMs()).sum())
+        outcome = [False] * late
+        for at in rows["at"].iloc[late:]:
             accepted = [t for t in accepted if t > at - seconds]
             ok = len(accepted) < limit
             if ok:
                 accepted.append(at)
             outcome.append(ok)
-        state.update((accepted,))
-        newest = rows["at"].iloc[-1] if not accepted else max(accepted[-1], rows["at"].iloc[-1])
-        state.setTimeoutTimestamp(max(int((newest + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        if accepted or late < len(rows):
+            state.update((accepted,))
+            newest = rows["at"].iloc[-1] if not accepted else max(accepted[-1], rows["at"].iloc[-1])
+            state.setTimeoutTimestamp(max(int((newest + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        said = ["late"] * late + ["sent" if ok else "throttled" for ok in outcome[late:]]
         yield pd.DataFrame(
-            {"sender": key[0], "send_id": rows["send_id"].values, "sent_at": rows["at"].values, "accepted": outcome}
-        )
-
-    timed = events.withWatermark("sent_at", lateness).withColumn("at", F.unix_micros("sent_at") / 1_000_000.0)
+            {
+                "sender": key[0], "send_id": rows["send_id"].values, "sent_at": rows["at"].values, "accepted": outcome,
+                "outcome": said,
+            }
+        )
+
+    marked = events.withWatermark("sent_at", lateness)
+    # The grouping drops rows whose marked column is behind the watermark. The mark moves to a column that never
+    # is, so late sends get here; the watermark itself still follows ``sent_at``.
+    mark = json.loads(marked.select("sent_at").schema.json())["fields"][0]["metadata"] or {_DELAY: 0}
+    timed = marked.select(
+        "sender",
+        "send_id",
+        (F.unix_micros("sent_at") / 1_000_000.0).alias("at"),
+        F.greatest("sent_at", F.lit(_NEVER_LATE).cast("timestamp")).alias("clock", metadata=mark),
+    )
     return timed.groupBy("sender").applyInPandasWithState(
         run, THROTTLE_OUTPUT, _THROTTLE_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -12,6 +12,17 @@ from casemill.sources.readers import normalize_cases
 from casemill.sources.sinks import quarantine_rows
 
 
+def _earlier_ids(spark: SparkSession, curated: str, number: int) -> DataFrame | None:
+    """Ids in the curated table from other micro-batches than this one or later; None before the first."""
+    try:
+        stored = spark.read.parquet(curated)
+    except Exception as error:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        return None
+    return stored.where(F.col("batch") < number).select("case_id")
+
+
 def ingest_files(
     spark: SparkSession,
     source: str,
@@ -22,18 +33,26 @@ def ingest_files(
     fmt: str = "json",
     min_date: str = EARLIEST_OPENING,
     max_files: int = 1000,
+    enforce_unique: bool = True,
 ) -> StreamingQuery:
     """Start a bounded run over the files that have arrived and not been read.
 
     The checkpoint remembers the files. Each micro-batch writes its own folder and overwrites it when
-    it is repeated after a failure, so no row is written twice.
+    it is repeated after a failure, so no row is written twice. With ``enforce_unique`` ids that repeat inside
+    a micro-batch, or that an earlier one has brought to the curated table, are quarantined.
     """
 
     def load(batch: DataFrame, number: int) -> None:
         stamped = F.current_timestamp()
-        # Both outputs come from one check of the batch; uniqueness across batches is the loader's matter.
+        # Both outputs come from one check of the batch.
         batch = batch.persist()
-        valid, bad = validate_contract(normalize_cases(batch), min_date, enforce_unique=False)
+        valid, bad = validate_contract(normalize_cases(batch), min_date, enforce_unique)
+        present = _earlier_ids(batch.sparkSession, curated, number) if enforce_unique else None
+        if present is not None:
+            again = valid.join(present, "case_id", "left_semi").select(
+                *valid.columns, F.lit(RULE_ID).alias("rule_id"), F.lit("case_id: not unique").alias("reason")
+            )
+            valid, bad = valid.join(present, "case_id", "left_anti").select(*valid.columns), bad.unionByName(again)
         valid.write.mode("overwrite").parquet(f"{curated}/batch={number}")
         quarantine_rows(bad, stamped, RULE_ID, F.col("reason")).write.mode("overwrite").parquet(
             f"{quarantine}/batch={number}"

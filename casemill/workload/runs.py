@@ -98,6 +98,8 @@ def ingest_files(spark, sf):
     raw = sources._raw(spark, sf).withColumns(
         {"causa": F.lit("a"), "canal_atencion": F.lit("b"), "empresa": F.lit("c"), "tipo_pqr": F.lit("queja")}
     )
+    # An id of its own for every row: the loader refuses repeated ones.
+    raw = raw.withColumn("id_pqr", F.monotonically_increasing_id().cast(raw.schema["id_pqr"].dataType))
     arrived, curated, bad = (_folder(spark, n) for n in ("json", "curated", "quarantine"))
     raw.write.json(arrived)
     files.ingest_files(
@@ -123,8 +125,10 @@ def ingest_files(spark, sf):
 )
 def ingest_run(spark, sf):
     source, output = _folder(spark, "source") + ".parquet", _folder(spark, "run")
-    cases(spark, sf).write.parquet(source)
-    config = ingest.IngestConfig(source, output, date(2001, 12, 31), min_date="1996-06-01", enforce_unique=False)
+    # An id of its own for every row that has one: the run refuses repeated ones.
+    own = F.when(F.col("case_id").isNotNull(), F.monotonically_increasing_id())
+    cases(spark, sf).withColumn("case_id", own).write.parquet(source)
+    config = ingest.IngestConfig(source, output, date(2001, 12, 31), min_date="1996-06-01")
     first, second = ingest.run_pipeline(spark, config), ingest.run_pipeline(spark, config)
     return ingest.read_control(spark, output).select(
         "status", "stages_completed", "records_read", "records_valid", "records_quarantined",

@@ -85,3 +85,35 @@ def test_files_are_ingested_once(spark, sf, folder):
     assert run() == raw.count() == run()
     raw.limit(5).coalesce(1).write.mode("append").json(folder("in"))
     assert run() == raw.count() + 5
+
+
+def test_late_sends_get_an_outcome(spark, folder):
+    path = folder("in")
+    schema = "sender long, s double, send_id long"
+    arrive(spark, path, [(1, 0.0, 1), (1, 1.0, 2), (1, 600.0, 3)], schema)
+    arrive(spark, path, [(1, 700.0, 4)], schema)
+    arrive(spark, path, [(1, 2.0, 5), (2, 3.0, 6), (1, 701.0, 7), (1, 702.0, 8)], schema)
+    arrive(spark, path, [(2, 4.0, 9), (2, 703.0, 10)], schema)
+    stream = source(spark, path).withColumnRenamed("ts", "sent_at").select("sender", "send_id", "sent_at")
+    out = files.run_to_table(streams.throttle_stream(stream, limit=2), folder("out"), folder("check"))
+    found = {r.send_id: (r.accepted, r.outcome) for r in out.collect()}
+    sent, late = (True, "sent"), (False, "late")
+    assert found == {1: sent, 2: sent, 3: sent, 4: sent, 5: late, 6: late, 7: sent, 8: (False, "throttled"), 9: late, 10: sent}
+
+
+def test_repeated_ids_do_not_reach_the_curated_table(spark, sf, folder):
+    raw = sources._raw(spark, sf).withColumns({"causa": F.lit("a"), "canal_atencion": F.lit("b"), "empresa": F.lit("c"), "tipo_pqr": F.lit("queja")})
+    one = raw.dropDuplicates(["id_pqr"]).limit(50)
+
+    def run(rows):
+        rows.coalesce(1).write.mode("append").json(folder("in"))
+        files.ingest_files(
+            spark, folder("in"), raw.schema, folder("curated"), folder("bad"), folder("check"), min_date="1900-01-01"
+        ).awaitTermination()
+        found = spark.read.parquet(folder("curated"))
+        return found.count(), found.select("case_id").distinct().count(), spark.read.parquet(folder("bad")).count()
+
+    kept, ids, lost = run(one)
+    assert kept == ids > 0 and kept + lost == 50
+    assert run(one) == (kept, kept, lost + 50)
+    assert run(raw.where("id_pqr IS NOT NULL").limit(1).union(raw.where("id_pqr IS NOT NULL").limit(1)))[:2] == (kept, kept)
