@@ -1,20 +1,22 @@
-"""Suffix-array dedup: removes every byte that is covered by a string of ``LENGTH`` bytes (UTF-8) that also
+"""Suffix dedup: removes every byte that is covered by a string of ``LENGTH`` bytes (UTF-8) that also
 starts earlier, in a document of a smaller id or earlier in the same one.
 
-Only the part of the suffix array that decides this is built, by prefix doubling over a content-chosen
-sample of positions:
+No suffix array is built and no ranks are doubled: anchors chosen by content are grouped by hash and compared
+by fingerprints.
 
-1. Ranks of short prefixes. Every start of ``LENGTH`` bytes is stood for by its anchor, the least hashed
+1. Anchors. Every start of ``LENGTH`` bytes is stood for by its anchor, the least hashed
    string of ``SEED`` bytes inside it: equal starts have equal anchors at equal distance. Anchors are
    dealt by seed and sorted; a seed that is unique leaves at once with all starts that it stands for.
-2. Ranks of long prefixes. Starts with one anchor form a run. Runs with equal seed are ranked again by all
+2. Runs. Starts with one anchor form a run. Runs with equal seed are compared by all
    bytes from their first start to the end of their last: a run whose bytes also come earlier is removed
    as a whole, the first of a seed is original as a whole, and seeds of one such rank leave.
 3. The few runs that are left, where matches begin or end, are cut into stretches of ``STRETCH`` starts,
-   dealt by the bytes common to a stretch, and ranked start by start at the full length.
+   dealt by the bytes common to a stretch, and compared start by start at the full length.
 
 In every step equal rows of a task are put together before they move (the first of them stands for all),
-so a passage that a third of all documents share is a row per task. What moves are anchors, the text in
+so the inside of a passage that a third of all documents share is a row per task. The stretches at its edges
+differ from document to document and are not put together: all of one core meet in one task, as do different
+runs of one seed. What moves are anchors, the text in
 compressed blocks twice, and the stretches; the driver sees sizes only. Strings are compared by 64-bit
 fingerprints together with the fingerprint of their seed.
 
