@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casemill.llm import jaccard_join, mixing, packing, ppm, quality_rules, suffix_dedup, token_counts, topk, toxicity, url_filter
+from casemill.llm import (
+    byte_bpe, jaccard_join, merkle, mixing, packing, ppm, quality_rules, reverse_search, suffix_dedup, token_counts, topk, toxicity, url_filter,
+)
 from casemill.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -162,3 +164,113 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: The sum of bits is that of CRC-32 over the decimal id, whose characters are ASCII.
+MERKLE_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, source, n_chars, text, coalesce('=' || lang, '') AS g,
+         xor(4294967295, list_reduce(
+           list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+           lambda c, x: list_reduce(range(8), lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END, xor(c, x)),
+           4294967295)) AS crc
+  FROM documents
+), e AS (
+  SELECT doc_id, lang, g, n_chars, crc,
+         concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM d
+), h AS (
+  SELECT doc_id, g, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen(CAST(m AS VARCHAR)) || ':' || m, '-') || tail) AS seen
+  FROM (SELECT *, n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS m FROM e)
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM h
+), nodes AS (
+  SELECT 0 AS l, g, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT l + 1, g, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY l, g, n, i // 2
+), subroots AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS l, i, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT l + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY l, n, i // 2
+), beside AS (
+  SELECT x.g, x.i, string_agg(s.h, '' ORDER BY s.l) AS hs
+  FROM leaves x JOIN nodes s ON s.g = x.g AND s.n > 1 AND s.i = xor(x.i >> s.l, 1) GROUP BY ALL
+), above AS (
+  SELECT x.g, string_agg(s.h, '' ORDER BY s.l) AS hs
+  FROM subroots x JOIN tops s ON s.n > 1 AND s.i = xor(x.i >> s.l, 1) GROUP BY ALL
+), folds AS (
+  SELECT 0 AS l, g, i, n, seen AS h FROM leaves
+  UNION ALL
+  SELECT f.l + 1, f.g, f.i, (f.n + 1) // 2,
+         sha256(CASE WHEN (f.i >> f.l) & 1 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END)
+  FROM folds f LEFT JOIN nodes s ON s.g = f.g AND s.l = f.l AND s.i = xor(f.i >> f.l, 1) WHERE f.n > 1
+), raised AS (
+  SELECT 0 AS l, f.g, f.i, r.i AS j, r.n, f.h FROM folds f JOIN subroots r USING (g) WHERE f.n = 1
+  UNION ALL
+  SELECT f.l + 1, f.g, f.i, f.j, (f.n + 1) // 2,
+         sha256(CASE WHEN (f.j >> f.l) & 1 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END)
+  FROM raised f LEFT JOIN tops s ON s.l = f.l AND s.i = xor(f.j >> f.l, 1) WHERE f.n > 1
+)
+SELECT x.doc_id, x.leaf, r.subroot, t.h AS root, sha256(coalesce(b.hs, '') || coalesce(a.hs, '')) AS proof_sha256,
+       f.h AS folded_root, f.h = t.h AS verified
+FROM leaves x JOIN subroots r USING (g) JOIN (SELECT h FROM tops WHERE n = 1) t ON true
+LEFT JOIN beside b ON b.g = x.g AND b.i = x.i LEFT JOIN above a ON a.g = x.g
+JOIN (SELECT * FROM raised WHERE n = 1) f ON f.g = x.g AND f.i = x.i
+"""
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*LEAF_FIELDS)
+    found = F.when(_crc_of_id() % 7 == 0, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))
+    checked = merkle.manifest(docs, LEAF_FIELDS, "lang", ["doc_id"], {"n_chars": found})
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+REVERSE_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents
+), i AS (
+  SELECT row_number() OVER () AS item, item_id, {_TERMS} AS terms FROM benchmark
+), q AS (
+  SELECT DISTINCT item, item_id, unnest(terms) AS term FROM i
+), s AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0
+), p AS (
+  SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d
+), tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s
+), x AS (
+  SELECT item, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY ALL
+), k AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+@query("op12_reverse_search", REVERSE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return reverse_search.searched(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.digests(byte_bpe.encoded(docs, path), path)

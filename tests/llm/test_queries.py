@@ -6,11 +6,11 @@ from compare import difference, duck
 import corpus_pipeline
 from casemill.llm.queries import ORACLE, QUERIES
 
-ONE_ROW_PER_DOCUMENT = ("op2_token_counts", "op3_lm_scores", "op7_suffix_dedup", "op8_toxicity", "op10_jaccard_join")
+ONE_ROW_PER_DOCUMENT = ("op2_token_counts", "op3_lm_scores", "op7_suffix_dedup", "op8_toxicity", "op10_jaccard_join", "op13_byte_bpe")
 
 
 def test_numbers():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ORACLE)
