@@ -3,15 +3,16 @@
 1. A text is cut into words by the split pattern of the rank files (``SPLIT``), with the character classes of the
    tokeniser library itself, in array steps over the code points of many texts at once.
 2. The words of a chunk of texts are numbered; a distinct word of a chunk is one row (chunk, place, word).
-3. The distinct words of the corpus are folded by Spark's higher-order functions: a word is its array of bytes, and
-   each step of ``aggregate`` merges the leftmost adjacent pair of least rank, which a literal map tells. The
+3. Equal words of all chunks meet, sorted, and the first of them is folded by Spark's higher-order functions: a word
+   is its array of bytes, and each step of ``aggregate`` merges the leftmost adjacent pair of least rank, which a literal map tells. The
    ranks of the pairs beside a merge are looked up again, all others stay. Words of more than ``FOLD_BYTES`` bytes,
    for which a fold would move its array too often, take the same merges in the same order from a heap.
-4. The ids return to their chunks over a join on the word, and each text is the ids of its words in order.
+4. The other rows of a word take over its ids; they return to their chunks, where each text is the ids of its
+   words in order.
 
 What moves is the number of each word in its text and the distinct words of each chunk. Neither the words of
 the corpus nor those of a text are collected or broadcast; a word that all chunks hold is a row per chunk, and
-the join streams them. Broadcast, or literal, is the vocabulary alone. A chunk is known by a digest of
+these stream by. Broadcast, or literal, is the vocabulary alone. A chunk is known by a digest of
 its words: a task that runs again names it alike, and equal chunks share their answers.
 
 Decoding concatenates the byte strings of the ids.
@@ -33,11 +34,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from casemill.llm.words import text_chunks
-from casemill.session import durable
 
 #: Fixed value: the split pattern of the rank files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -122,10 +122,13 @@ def _numbered(batches: Iterator[pa.RecordBatch], packed: bytes, chunk_bytes: int
 
     def chunk():
         coded = pa.chunked_array(words, pa.binary()).dictionary_encode().unify_dictionaries()
-        parts = [c.indices.to_numpy() for c in coded.chunks]
+        codes = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)])
         distinct = coded.chunks[0].dictionary if coded.num_chunks else pa.array([], pa.binary())
-        own = pa.concat_arrays(ids)
-        return own, np.concatenate(counts), np.concatenate([np.zeros(0, np.int32), *parts]), distinct
+        # Frequent words get small numbers, which take less room.
+        order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        return pa.concat_arrays(ids), np.concatenate(counts), number[codes], distinct.take(pa.array(order))
 
     for batch in batches:
         for start, stop in text_chunks(batch["text"]):
@@ -143,20 +146,36 @@ def _numbered(batches: Iterator[pa.RecordBatch], packed: bytes, chunk_bytes: int
 
 
 def _key(distinct: pa.Array) -> int:
-    digest = hashlib.blake2b(pc.binary_length(distinct).to_numpy(zero_copy_only=False).tobytes(), digest_size=8)
-    digest.update(b"".join(distinct.to_pylist()))
+    """A digest of a chunk's words; their array is one that ``take`` has made."""
+    if not len(distinct):
+        return 0
+    cuts = np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1]
+    digest = hashlib.blake2b(cuts.tobytes(), digest_size=8)
+    digest.update(distinct.buffers()[2][: int(cuts[-1])])
     return int.from_bytes(digest.digest(), "little", signed=True)
 
 
-def _words_of(packed: bytes, chunk_bytes: int):
+def _words_of(packed: bytes, ranks: dict[bytes, int], fold_bytes: int, chunk_bytes: int):
+    """Distinct words of each chunk; a word too long to fold is known by its digest and has its ids."""
+
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, distinct in _numbered(batches, packed, chunk_bytes):
+            key = _key(distinct)
+            long = pc.greater(pc.binary_length(distinct), fold_bytes).to_numpy(zero_copy_only=False)
             for start in range(0, len(distinct), 1 << 16):
                 part = distinct.slice(start, 1 << 16)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), _key(distinct)), pa.int64()), pa.array(np.arange(start, start + len(part)), pa.int32()), part],
-                    names=["chunk", "place", "word"],
-                )
+                ids: list[list[int] | None] = [None] * len(part)
+                places = np.flatnonzero(long[start : start + len(part)])
+                if len(places):
+                    names = part.to_pylist()
+                    for at in places.tolist():
+                        names[at], ids[at] = hashlib.sha512(names[at]).digest(), merged_by_heap(names[at], ranks)
+                    part = pa.array(names, pa.binary())
+                columns = [
+                    pa.array(np.full(len(part), key), pa.int64()), pa.array(np.arange(start, start + len(part)), pa.int32()), part,
+                    pa.array(ids, pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "place", "word", "own"])
 
     return words_of
 
@@ -275,16 +294,6 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _long(ranks: dict[bytes, int]):
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                word = batch["word"].slice(at, 1)
-                yield pa.RecordBatch.from_arrays([word, pa.array([merged_by_heap(word[0].as_py(), ranks)], pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return long
-
-
 def _assembled(kind: pa.DataType):
     def assembled(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         places = answers["place"].to_numpy()
@@ -324,17 +333,18 @@ def encoded(
     ranks, packed = read_ranks(path), _packed_classes()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     field = texts.schema["doc_id"]
-    words = durable(texts.mapInArrow(_words_of(packed, chunk_bytes), "chunk long, place int, word binary"))
-    short, long = F.octet_length("word") <= fold_bytes, F.octet_length("word") > fold_bytes
-    by_fold = words.where(short).select("word").distinct().select("word", folded(F.col("word"), ranks).alias("ids"))
-    by_heap = words.where(long).select("word").distinct().mapInArrow(_long(ranks), "word binary, ids array<int>")
-    answers = words.join(by_fold.union(by_heap), "word").select("chunk", "place", "ids")
+    words = texts.mapInArrow(_words_of(packed, ranks, fold_bytes, chunk_bytes), "chunk long, place int, word binary, own array<int>")
+    # One row of each word folds it, and the others take over its ids as they stream by.
+    same = Window.partitionBy("word").orderBy("chunk", "place")
+    first = words.withColumn("_first", F.row_number().over(same) == 1)
+    made = first.withColumn("made", F.when(F.col("_first"), F.coalesce("own", folded(F.col("word"), ranks))))
+    so_far = same.rowsBetween(Window.unboundedPreceding, 0)
+    answers = made.select("chunk", "place", F.first("made", ignorenulls=True).over(so_far).alias("ids"))
     coded = StructType([
-        StructField("chunk", words.schema["chunk"].dataType), StructField("docs", ArrayType(field.dataType)),
-        *StructType.fromDDL("counts binary, codes binary"),
+        *StructType.fromDDL("chunk long"), StructField("docs", ArrayType(field.dataType)), *StructType.fromDDL("counts binary, codes binary"),
     ])
     rows = texts.mapInArrow(_texts_of(packed, chunk_bytes), coded)
-    schema = StructType([StructField("doc_id", field.dataType), StructField("ids", ArrayType(words.schema["place"].dataType))])
+    schema = StructType([StructField("doc_id", field.dataType), *StructType.fromDDL("ids array<int>")])
     kind = to_arrow_type(field.dataType)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_assembled(kind), schema)
 
