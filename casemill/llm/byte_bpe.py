@@ -43,6 +43,8 @@ from casemill.llm.words import text_chunks
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FOLD_BYTES = 256
 CHUNK_BYTES = 32 << 20
+#: Bytes of text that are cut at once, in arrays of some ten times that size.
+PART_BYTES = 1 << 19
 #: Maps of a few pairs each, found by their place in an array.
 MAP_BUCKETS = 16381
 _NONE = (1 << 31) - 1
@@ -121,7 +123,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], packed: bytes, chunk_bytes: int
     ids, counts, words, held = [], [], [], 0
 
     def chunk():
-        coded = pa.chunked_array(words, pa.binary()).dictionary_encode().unify_dictionaries()
+        coded = pa.chunked_array(words, pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries()
         codes = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)])
         distinct = coded.chunks[0].dictionary if coded.num_chunks else pa.array([], pa.binary())
         # Frequent words get small numbers, which take less room.
@@ -131,12 +133,12 @@ def _numbered(batches: Iterator[pa.RecordBatch], packed: bytes, chunk_bytes: int
         return pa.concat_arrays(ids), np.concatenate(counts), number[codes], distinct.take(pa.array(order))
 
     for batch in batches:
-        for start, stop in text_chunks(batch["text"]):
+        for start, stop in text_chunks(batch["text"], PART_BYTES):
             texts = batch["text"].slice(start, stop - start)
             found, upto = split_words(texts, classes)
             ids.append(batch["doc_id"].slice(start, stop - start))
             counts.append(np.diff(upto, prepend=0))
-            words.append(found)
+            words.append(found.dictionary_encode())
             held += pc.sum(pc.binary_length(texts)).as_py() or 0
             if held >= chunk_bytes:
                 yield chunk()
