@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,12 +51,28 @@ def durable_dir(spark: SparkSession) -> str:
     return folder
 
 
+_STAGES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write a result once to the shared folder and read it back, cutting its lineage.
 
-    Used where two consumers must see the same rows or where a loop would grow the plan.
+    Used where two consumers must see the same rows or where a loop would grow the plan. A loop hands what
+    its next round no longer reads to :func:`release`.
     """
     spark = df.sparkSession
     path = f"{durable_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _STAGES[stored] = path
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete results of :func:`durable` that nothing will read again; other tables are left alone."""
+    for df in stored:
+        path = _STAGES.pop(df, None)
+        if path is not None:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
