@@ -35,16 +35,22 @@ REMEMBERED_WORDS = 400_000
 
 
 class PieceAutomaton:
-    """Counts greedy longest-match pieces of words over ``pieces``."""
+    """Counts greedy longest-match pieces of words.
 
-    def __init__(self, pieces: Iterable[bytes], end_mark: bytes = b"") -> None:
+    ``pieces`` start a word and ``inner`` ones continue it. Without ``inner``, the pieces that begin with ``##``
+    are the ones that continue it.
+    """
+
+    def __init__(self, pieces: Iterable[bytes], end_mark: bytes = b"", inner: Iterable[bytes] | None = None) -> None:
         self.end_mark = end_mark
         self.child: list[dict[int, int]] = [{}, {}]
         self.complete = [False, False]
         self.start, self.inner = 0, 1
         for piece in pieces:
-            inner = piece.startswith(CONTINUES) and len(piece) > len(CONTINUES)
-            self._insert(self.inner if inner else self.start, piece[len(CONTINUES) :] if inner else piece)
+            continues = inner is None and piece.startswith(CONTINUES) and len(piece) > len(CONTINUES)
+            self._insert(self.inner if continues else self.start, piece[len(CONTINUES) :] if continues else piece)
+        for piece in inner or ():
+            self._insert(self.inner, piece)
         self._link()
 
     def _insert(self, node: int, piece: bytes) -> None:
@@ -109,14 +115,14 @@ def byte_level_pieces(path: str, word_end: str = "</w>") -> list[bytes]:
     for entry in vocabulary:
         body, mark = (entry[: -len(word_end)], END_MARK) if entry.endswith(word_end) else (entry, b"")
         if all(c in byte_of for c in body):
-            plain = bytes(byte_of[c] for c in body) + mark
-            pieces += [plain, CONTINUES + plain]
+            pieces.append(bytes(byte_of[c] for c in body) + mark)
     return pieces
 
 
 @lru_cache(maxsize=2)
 def _automaton(path: str) -> PieceAutomaton:
-    return PieceAutomaton(byte_level_pieces(path), END_MARK)
+    pieces = byte_level_pieces(path)
+    return PieceAutomaton(pieces, END_MARK, inner=pieces)
 
 
 def count_chunk(texts: pa.Array, automaton: PieceAutomaton, known: dict[str, int]) -> tuple[np.ndarray, ...]:

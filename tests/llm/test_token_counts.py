@@ -55,11 +55,23 @@ def test_documents(spark):
     docs = spark.createDataFrame([(i % 8, x, 9) for i, x in enumerate(texts)], "doc_id int, text string, n_tokens int")
     found = t.token_counts(docs, PATH).collect()
     assert len(found) == len(texts)
-    pieces = t.byte_level_pieces(PATH)
-    start, inner = split(pieces)
+    start = inner = set(t.byte_level_pieces(PATH))
     for row, text in zip(found, texts):
         words = (text or "").replace("\x1c", "\x1c").split(" ") if text == long else [w for w in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
         words = [w for w in words if w]
         sample = {w: greedy(w.lower().encode() if w.isascii() else w.encode(), start, inner, t.END_MARK) for w in set(words)}
         assert row.n_words == len(words) and row.n_tokens == sum(max(sample[w], 1) for w in words) and row.n_unknown == 0
     assert t.token_counts(docs.limit(0), PATH).count() == 0
+
+
+def test_number_signs_are_ordinary_pieces_of_a_byte_level_vocabulary():
+    import json
+
+    vocabulary = json.load(open(PATH, encoding="utf-8"))["model"]["vocab"]
+    # These characters stand for themselves in the file.
+    entries = {e.removesuffix("</w>").encode() + (t.END_MARK if e.endswith("</w>") else b"") for e in vocabulary if e.isascii()}
+    assert b"##" + t.END_MARK in entries
+    automaton = t._automaton(PATH)
+    for word in (b"##", b"###", b"####", b"a##", b"##a", b"#", b"x##y##", b"##" * 50):
+        assert automaton.count(word) == greedy(word, entries, entries, t.END_MARK), word
+    assert automaton.count(b"##") == 1
