@@ -64,12 +64,20 @@ def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
     return ((pair + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % buckets
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _whole(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _blob(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    return _squeezed(np.ascontiguousarray(values).tobytes())
 
 
 def _array(blob: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), kind)
+    return np.frombuffer(_whole(blob), kind)
 
 
 def _packed_grams(grams: np.ndarray) -> bytes:
@@ -124,7 +132,7 @@ def _block_facts(buckets: int):
             by_bucket.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
         for bucket, own in by_bucket.items():
             counts = np.array([words[w] for w in own], np.int64)
-            out.append((WORDS, bucket, block, zlib.compress(" ".join(own).encode(), 1), _blob(counts)))
+            out.append((WORDS, bucket, block, _squeezed(" ".join(own).encode()), _blob(counts)))
         out.append((SHORT, block % 16, block, ends_trained.to_bytes(8, "little"), _packed_grams(triples[0])))
         return _facts_table(out)
 
@@ -210,10 +218,10 @@ def _answers(short: np.ndarray):
         else:
             total: dict[str, int] = {}
             for blob, count in zip(keys, counts):
-                for word, n in zip(zlib.decompress(blob).decode().split(" "), _array(count, np.int64).tolist()):
+                for word, n in zip(_whole(blob).decode().split(" "), _array(count, np.int64).tolist()):
                     total[word] = total.get(word, 0) + n
             for block, blob in zip(blocks, keys):
-                answers = np.array([total[w] for w in zlib.decompress(blob).decode().split(" ")], np.int64)
+                answers = np.array([total[w] for w in _whole(blob).decode().split(" ")], np.int64)
                 out.append((kind, bucket, block, blob, _blob(answers)))
             # Block -1 tells the size of this bucket's vocabulary and its training words.
             known = [n for n in total.values() if n]
@@ -234,7 +242,7 @@ def _score(ends_trained: int, words_trained: int, vocabulary: int):
             if kind == GRAMS:
                 parts.append((_unpacked_grams(keys), _array(values, float)))
             else:
-                words += zlib.decompress(keys).decode().split(" ")
+                words += _whole(keys).decode().split(" ")
                 counts.append(_array(values, np.int64))
         grams = np.concatenate([g for g, _ in parts])
         order = np.argsort(grams)

@@ -98,3 +98,13 @@ def test_no_training_and_empty(spark):
 def test_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "same text")] * 5, "doc_id int, text string")
     assert len({(r.score, r.base_score) for r in ppm.scored(docs, F.lit(True)).collect()}) == 1
+
+
+def test_query_holds_out_no_row_without_an_id(spark, tmp_path):
+    from casemill.llm.queries import QUERIES
+
+    spark.createDataFrame([(None, "a b"), (1, "a c"), (2, "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.held_out for r in QUERIES["op3_lm_scores"](spark, str(tmp_path)).collect()}
+    import zlib
+
+    assert rows == {None: False, **{i: zlib.crc32(str(i).encode()) % 7 == 2 for i in (1, 2)}}
