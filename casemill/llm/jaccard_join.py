@@ -12,9 +12,10 @@ prefix join.
    prefix shingles are a family and are placed in one block, or in several bounded ones if they are many;
    blocks that share a prefix shingle form candidate pairs. A pair of blocks
    is expanded and verified in one task, all overlaps of a class with a block in one counting step, and
-   a task gives a spanning forest of its links, so a large set of near copies never becomes rows of pairs.
-   First every block meets the first block of each shingle only; most near copies are connected then.
-   Afterwards only classes whose shingles still lie in several components meet all blocks that are left.
+   a task gives each class with the smallest one it reaches; those rows of all tasks are contracted to about one
+   per class, so a large set of near copies never becomes rows of pairs.
+   First every block meets itself and the first block of each shingle; most near copies are connected then.
+   Afterwards only classes whose shingles still lie in several components meet the blocks not met yet.
 5. Components come from min-label rounds with shortcuts, on stored tables.
 
 Nothing is sampled or capped; the component of every link is found. Fingerprints of shingles have 52 bits:
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from casemill.llm.words import mixed, text_chunks, word_fingerprints, word_lists
-from casemill.session import durable
+from casemill.session import durable, release
 
 WIDTH = 5
 THRESHOLD = (75, 100)
@@ -217,11 +218,18 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _verify(threshold: tuple[int, int]):
-    """Links between two blocks as a spanning forest of (a, b)."""
+    """Linked classes of a task's pairs of blocks as rows (a, b): every class with the smallest one that it reaches."""
     part, whole = threshold
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         for batch in batches:
             for at_row in range(batch.num_rows):
                 # One pair of blocks in memory at a time.
@@ -232,15 +240,12 @@ def _verify(threshold: tuple[int, int]):
                 shingles, owner = shingles[order], owner[order]
                 own_reps, own_ns, ends = read("a_reps"), read("a_ns"), np.cumsum(read("a_sizes"))
                 own = read("a_shingles")
-
-                def root(x: int, parent=parent) -> int:
-                    while parent.setdefault(x, x) != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    return x
-
-                out = []
+                others = {root(x) for x in reps.tolist()}
                 for i, rep in enumerate(own_reps.tolist()):
+                    others = {root(x) for x in others}
+                    if others == {root(rep)}:
+                        # All of the block is connected with this class: more links change nothing.
+                        continue
                     mine = own[ends[i - 1] if i else 0 : ends[i]]
                     low, high = np.searchsorted(shingles, mine, "left"), np.searchsorted(shingles, mine, "right")
                     hit = high > low
@@ -251,17 +256,24 @@ def _verify(threshold: tuple[int, int]):
                         a, b = root(rep), root(int(reps[j]))
                         if a != b:
                             parent[max(a, b)] = min(a, b)
-                            out.append((min(rep, int(reps[j])), max(rep, int(reps[j]))))
-                pairs = np.array(out, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pairs[:, 0], pairs[:, 1]], names=["a", "b"])
+        pairs = np.array([(root(x), x) for x in list(parent) if root(x) != x], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pairs[:, 0], pairs[:, 1]], names=["a", "b"])
 
     return verify
 
 
+def contracted(stars: DataFrame) -> DataFrame:
+    """(a, b) with the same components as the ``stars`` (a, b) of all tasks: one row per class ``b``, with its
+    least centre, and one per pair of centres that a class joins, however many tasks have found it."""
+    least = stars.groupBy("b").agg(F.min("a").alias("least"))
+    centres = stars.join(least, "b").where(F.col("a") != F.col("least")).select(F.col("least").alias("x"), F.col("a").alias("y")).distinct()
+    return least.select(F.col("least").alias("a"), "b").union(centres)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable over ``links`` (a, b), for every id in a link."""
     both = durable(links.union(links.select("b", "a")).toDF("a", "b").distinct())
-    labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    stored = labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         lower = labels.join(around, "id").select("id", "label", F.least("label", "near").alias("low"))
@@ -271,8 +283,10 @@ def components(links: DataFrame) -> DataFrame:
             lower.join(jump, "low", "left").select("id", "label", F.least("low", F.coalesce("far", "low")).alias("next"))
         )
         changed = after.where("label <> next").limit(1).count()
-        labels = after.select("id", F.col("next").alias("label"))
+        release(stored)
+        stored, labels = after, after.select("id", F.col("next").alias("label"))
         if not changed:
+            release(both)
             return labels
 
 
@@ -291,6 +305,8 @@ def _families(postings: DataFrame) -> DataFrame:
         after = closer(key).join(far, "key", "left").select("grp", F.least("key", F.coalesce("far", "key")).alias("key"))
         after = durable(after)
         changed = after.join(key.withColumnRenamed("key", "old"), "grp").where("key < old").limit(1).count()
+        if key is not near:
+            release(key)
         key = after
         if not changed:
             return near.select("grp", F.col("key").alias("near")).join(key.withColumnRenamed("key", "family"), "grp")
@@ -364,7 +380,7 @@ def joined(
     stars = where.join(hubs, "shingle").select("a_block", F.col("block").alias("b_block"))
     inside = where.select(F.col("block").alias("a_block"), F.col("block").alias("b_block"))
     first = durable(stars.union(inside).distinct())
-    links = durable(_meet(blocks, blocks, first, threshold))
+    links = durable(contracted(durable(_meet(blocks, blocks, first, threshold))))
     labels = components(links)
     label_of = placed.select("rep", "grp", "block").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep")
@@ -378,13 +394,16 @@ def joined(
         postings.join(open_shingles, "shingle").join(label_of, "grp").where(F.col("label") != F.col("main")).select("rep", "shingle")
     )
     outside = durable(outside.distinct())
-    seekers = outside.select("rep").distinct().join(placed.select("rep", "near", "family"), "rep")
-    seekers = durable(_blocks(seekers, block_classes, max(1, outside.select("rep").distinct().count())))
-    asked = outside.join(seekers.select("rep", "block"), "rep").select("shingle", F.col("block").alias("a_block")).distinct()
+    # A class outside meets the blocks that its own has not met yet.
+    seekers = durable(outside.select("rep").distinct().join(placed.select("rep", "block"), "rep"))
+    asked = outside.join(seekers, "rep").select("shingle", F.col("block").alias("a_block")).distinct()
+    met = first.union(first.select(F.col("b_block").alias("a_block"), F.col("a_block").alias("b_block"))).distinct()
     rest = asked.join(where.withColumnRenamed("block", "b_block"), "shingle").select("a_block", "b_block").distinct()
-    asking = sets.join(seekers.select("rep", "block"), "rep").groupBy("block").applyInArrow(_pack, packed)
-    more = _meet(asking, blocks, durable(rest), threshold)
+    rest = durable(rest.join(met, ["a_block", "b_block"], "left_anti"))
+    asking = sets.join(seekers, "rep").groupBy("block").applyInArrow(_pack, packed)
+    more = contracted(durable(_meet(asking, blocks, rest, threshold)))
     final = components(links.union(more))
+    release(live, blocks, postings, placed, where, label_of, outside, seekers, rest, links)
     by_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
         "sig", "sig2", F.col("n").alias("_n"), F.coalesce("label", "rep").alias("component")
     )
