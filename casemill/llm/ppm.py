@@ -32,6 +32,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -246,7 +247,8 @@ def _score(ends_trained: int, words_trained: int, vocabulary: int):
                 counts.append(_array(values, np.int64))
         grams = np.concatenate([g for g, _ in parts])
         order = np.argsort(grams)
-        grams, logs = grams[order], np.concatenate([v for _, v in parts])[order]
+        # Looking grams up by hash is some three times faster here than a binary search.
+        place, logs = pd.Index(grams[order]), np.concatenate([v for _, v in parts])[order]
         known_words, word_counts = pa.array(words, pa.string()), np.concatenate(counts) if counts else np.zeros(0, np.int64)
         ids, rows = [], []
         for batch in docs.to_batches():
@@ -254,7 +256,7 @@ def _score(ends_trained: int, words_trained: int, vocabulary: int):
                 texts = pc.fill_null(batch["text"].slice(start, stop - start), "")
                 own, ends = grams_of([t.encode() for t in texts.to_pylist()])
                 text_at = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-                total = np.bincount(text_at, logs[np.searchsorted(grams, own)], len(texts))
+                total = np.bincount(text_at, logs[place.get_indexer(own)], len(texts))
                 of_text, word_ends = word_lists(pc.ascii_lower(texts))
                 count = word_counts[pc.index_in(of_text, known_words).to_numpy()] if len(of_text) else np.zeros(0, np.int64)
                 word_at = np.repeat(np.arange(len(texts)), np.diff(word_ends, prepend=0))
