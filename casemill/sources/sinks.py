@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from casemill.sources import membership
+
 JDBC_BATCH = 5_000
 AUDIT_RESULTS = ("success", "failure")
 AUDIT_REQUIRED = ("user_id", "action", "resource", "result")
@@ -101,16 +103,18 @@ def missing_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
     return _first_per_key(fresh, list(keys), F.min)
 
 
-def insert_missing(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str]) -> None:
-    """Append rows with new keys; repeating the call adds nothing and earlier rows are untouched."""
-    try:
-        target = spark.read.schema(source.schema).parquet(path)
-        source = missing_rows(target, source, keys)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        source = _first_per_key(source, list(keys), F.min)
-    source.write.mode("append").parquet(path)
+def insert_missing(
+    spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], bits_per_key: int = membership.BITS_PER_KEY
+) -> None:
+    """Append rows with new keys; repeating the call adds nothing and earlier rows are untouched.
+
+    Only files of the target whose membership filter may hold a key of ``source`` are read. Files get their
+    filter after they are written; until then they are read.
+    """
+    held = membership.holding(source, path, source.schema, keys)
+    fresh = _first_per_key(source, list(keys), F.min) if held is None else missing_rows(held, source, keys)
+    fresh.write.mode("append").parquet(path)
+    membership.index_files(spark, path, source.schema, keys, bits_per_key)
 
 
 def export_report(report: DataFrame, columns: DataFrame, path: str) -> None:

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from casemill.operators.contract import RULE_ID, validate_contract
 from casemill.schema import EARLIEST_OPENING
+from casemill.sources import membership
 from casemill.sources.readers import normalize_cases
 from casemill.sources.sinks import quarantine_rows
 
 
-def _earlier_ids(spark: SparkSession, curated: str, number: int) -> DataFrame | None:
-    """Ids in the curated table from other micro-batches than this one or later; None before the first."""
-    try:
-        stored = spark.read.parquet(curated)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        return None
-    return stored.where(F.col("batch") < number).select("case_id")
+def _earlier_ids(valid: DataFrame, curated: str, number: int) -> DataFrame | None:
+    """Ids of the curated table, from other micro-batches than this one or later, that may be among those of
+    ``valid``; None if no file can hold one."""
+    spark = valid.sparkSession
+    batch_of = re.compile(r"/batch=(\d+)/")
+    files = [f for f in membership.stored_files(spark, curated) if int(batch_of.search(f).group(1)) < number]
+    return membership.holding(valid, curated, valid.schema, ["case_id"], files) if files else None
 
 
 def ingest_files(
@@ -39,7 +40,8 @@ def ingest_files(
 
     The checkpoint remembers the files. Each micro-batch writes its own folder and overwrites it when
     it is repeated after a failure, so no row is written twice. With ``enforce_unique`` ids that repeat inside
-    a micro-batch, or that an earlier one has brought to the curated table, are quarantined.
+    a micro-batch, or that an earlier one has brought to the curated table, are quarantined; of the table only files
+    whose membership filter may hold an id of the micro-batch are read.
     """
 
     def load(batch: DataFrame, number: int) -> None:
@@ -47,13 +49,15 @@ def ingest_files(
         # Both outputs come from one check of the batch.
         batch = batch.persist()
         valid, bad = validate_contract(normalize_cases(batch), min_date, enforce_unique)
-        present = _earlier_ids(batch.sparkSession, curated, number) if enforce_unique else None
+        present = _earlier_ids(valid, curated, number) if enforce_unique else None
         if present is not None:
             again = valid.join(present, "case_id", "left_semi").select(
                 *valid.columns, F.lit(RULE_ID).alias("rule_id"), F.lit("case_id: not unique").alias("reason")
             )
             valid, bad = valid.join(present, "case_id", "left_anti").select(*valid.columns), bad.unionByName(again)
         valid.write.mode("overwrite").parquet(f"{curated}/batch={number}")
+        if enforce_unique:
+            membership.index_files(batch.sparkSession, curated, valid.schema, ["case_id"])
         quarantine_rows(bad, stamped, RULE_ID, F.col("reason")).write.mode("overwrite").parquet(
             f"{quarantine}/batch={number}"
         )
