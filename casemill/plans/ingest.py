@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,8 +13,8 @@ from casemill.operators.contract import RULE_ID, check_contract
 from casemill.operators.quality import quality_score, violations
 from casemill.plans.report import quality_report
 from casemill.schema import EARLIEST_OPENING
-from casemill.session import durable
-from casemill.sources import readers, sinks
+from casemill.session import durable, release
+from casemill.sources import commits, readers, sinks
 
 STAGES = ("ingest", "profile", "validate", "enrich", "serve")
 CONTROL_SCHEMA = (
@@ -42,7 +43,7 @@ class _Batch:
     """Facts about one run, written to the control log after each stage."""
 
     batch_id: str
-    file_hash: str
+    file_hash: str | None
     file_name: str
     started_at: datetime
     stages: list[str] = field(default_factory=list)
@@ -74,19 +75,38 @@ def read_control(spark: SparkSession, output: str) -> DataFrame:
     return sinks.latest_batches(log, order="sequence")
 
 
+def _batch_of(spark: SparkSession, config: IngestConfig) -> _Batch | None:
+    """The batch of a source that is not visible and not recorded as completed; None if there is nothing to do."""
+    digest = readers.source_digest(readers.source_files(spark, config.source, by=config.fingerprint))
+    visible = commits.published(spark, config.output).select(F.col("source_key").alias("sha256"))
+    unread = sinks.pending_files(digest, read_control(spark, config.output)).join(visible, "sha256", "left_anti")
+    pending = unread.first()  # one row or none
+    return pending and _Batch(_new_id(), pending["sha256"], pending["file_name"] or "", _now())
+
+
+def _new_id() -> str:
+    return uuid.uuid4().hex
+
+
+def _now() -> datetime:
+    return datetime.now(timezone.utc)
+
+
 def run_pipeline(spark: SparkSession, config: IngestConfig) -> str:
     """Ingest, profile, validate, enrich, serve. Returns the status: completed, failed or skipped.
 
     The checked rows are written once to the shared folder; profile, split, score and both sinks read
-    that copy instead of the source.
+    that copy instead of the source. All results are staged and become visible together, by one entry of the
+    manifest, after the last stage: a run that fails anywhere leaves nothing that :func:`read_curated` or
+    :func:`read_quarantined` show, and its repetition gives every row once.
     """
     control_path = f"{config.output}/control"
-    digest = readers.source_digest(readers.source_files(spark, config.source, by=config.fingerprint))
-    pending = sinks.pending_files(digest, read_control(spark, config.output)).first()  # one row or none
-    if pending is None:
-        return "skipped"
-    batch = _Batch(uuid.uuid4().hex, pending["sha256"], pending["file_name"] or "", datetime.now(timezone.utc))
+    batch = None
     try:
+        batch = _batch_of(spark, config)
+        if batch is None:
+            return "skipped"
+        into = partial(commits.staged, config.output, batch.batch_id)
         raw = readers.read_source(spark, config.source, config.fmt)
         batch.stages.append("ingest")
         batch.record(spark, control_path, "processing")
@@ -95,7 +115,7 @@ def run_pipeline(spark: SparkSession, config: IngestConfig) -> str:
         checked = durable(check_contract(normal, config.min_date, config.enforce_unique))
         cases = checked.drop("failures")
         report = quality_report(cases, as_of=config.as_of)
-        sinks.export_report(report.summary, report.columns, f"{config.output}/quality")
+        sinks.export_report(report.summary, report.columns, into("quality"))
         batch.stages.append("profile")
         batch.record(spark, control_path, "processing")
 
@@ -104,25 +124,42 @@ def run_pipeline(spark: SparkSession, config: IngestConfig) -> str:
         batch.read, batch.valid, batch.quarantined = counts["n"], counts["valid"], counts["n"] - counts["valid"]
         rejected = checked.where(bad).withColumnRenamed("failures", "reason")
         sinks.write_quarantine(
-            sinks.quarantine_rows(rejected, F.lit(batch.started_at), RULE_ID, F.col("reason")),
-            f"{config.output}/quarantine",
+            sinks.quarantine_rows(rejected, F.lit(batch.started_at), RULE_ID, F.col("reason")), into("quarantine")
         )
         batch.stages.append("validate")
         batch.record(spark, control_path, "processing")
 
         valid = checked.where(good).drop("failures")
         score = quality_score(valid, config.as_of, config.catalogs, config.min_date)
-        score.write.mode("overwrite").json(f"{config.output}/score")
-        violations(valid, config.as_of, config.catalogs, config.min_date).write.mode("overwrite").json(
-            f"{config.output}/violations"
-        )
+        score.write.mode("overwrite").json(into("score"))
+        violations(valid, config.as_of, config.catalogs, config.min_date).write.mode("overwrite").json(into("violations"))
         batch.stages.append("enrich")
         batch.record(spark, control_path, "processing")
 
-        sinks.write_curated(valid, f"{config.output}/curated")
+        sinks.write_curated(valid, into("curated"))
+        commits.publish(spark, config.output, batch.batch_id, batch.file_hash)
         batch.stages.append("serve")
         batch.record(spark, control_path, "completed")
+        release(checked)
         return "completed"
     except Exception as error:  # noqa: BLE001  the failure itself is the result of the run
+        batch = batch or _Batch(_new_id(), None, config.source.rstrip("/").rsplit("/", 1)[-1], _now())
         batch.record(spark, control_path, "failed", f"{type(error).__name__}: {error}")
+        if batch.batch_id not in commits.batches(spark, config.output):
+            commits.discard(spark, config.output, batch.batch_id)
         return "failed"
+
+
+def read_curated(spark: SparkSession, output: str) -> DataFrame:
+    """Valid rows of the last visible batch: each run replaces the curated table."""
+    return commits.read_part(spark, output, "curated")
+
+
+def read_quarantined(spark: SparkSession, output: str) -> DataFrame:
+    """Quarantined rows of all visible batches."""
+    return commits.read_part(spark, output, "quarantine", every=True)
+
+
+def read_report(spark: SparkSession, output: str) -> DataFrame:
+    """Quality report of the last visible batch."""
+    return commits.read_part(spark, output, "quality/report", "json")

@@ -8,13 +8,14 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from casemill.plans import ingest, migrate as migration, report
+from casemill.schema import CASE_COLUMNS
 from casemill.session import durable_dir
 from casemill.sources import readers, sinks
 from casemill.streaming import events as streams, files
 from casemill.workload import operations, sources
 from casemill.workload.quality import COUNTERS, DIM, SCORE
 from casemill.workload.registry import query, rnd
-from casemill.workload.tables import cases, table, with_cases
+from casemill.workload.tables import CASES, cases, table, with_cases
 
 
 def _folder(spark, name: str) -> str:
@@ -114,26 +115,39 @@ def ingest_files(spark, sf):
     )
 
 
+# Every seventh line of an order repeats the id of the sixth.
+OWN_ID = "l_orderkey * 8 + CASE WHEN l_linenumber = 7 THEN 6 ELSE l_linenumber END"
+
+
 @query(
     "src22_ingest_run",
-    with_cases(
-        """SELECT 'completed' AS status, 'ingest,profile,validate,enrich,serve' AS stages_completed, n AS records_read, ok AS records_valid,
-          n - ok AS records_quarantined, 'completed' AS first_run, 'skipped' AS second_run FROM (SELECT count(*) AS n,
-          count(*) FILTER (WHERE case_id IS NOT NULL AND opened_on >= DATE '1996-06-01' AND status IS NOT NULL AND cause IS NOT NULL
-            AND channel IS NOT NULL AND company IS NOT NULL AND case_type IS NOT NULL AND coalesce(handling_days, 0) >= 0) AS ok FROM cases)"""
-    ),
+    f"""WITH {CASES.strip().replace("SELECT l_orderkey AS case_id", f"SELECT {OWN_ID} AS case_id")}, checked AS (
+      SELECT *, concat_ws('; ', CASE WHEN opened_on < DATE '1996-06-01' THEN 'opened_on: before 1996-06-01' END,
+        CASE WHEN count(*) OVER (PARTITION BY case_id) > 1 THEN 'case_id: not unique' END) AS reason FROM cases)
+    SELECT CASE WHEN reason = '' THEN 'curated' ELSE 'quarantined' END AS part, CAST(case_id AS BIGINT) AS case_id,
+      CAST(opened_on AS VARCHAR) AS opened_on, status, cause, company, case_type, CAST(handling_days AS DOUBLE) AS handling_days, reason,
+      'completed' AS status_of_run, 'ingest,profile,validate,enrich,serve' AS stages_completed, 'completed' AS first_run, 'skipped' AS second_run
+    FROM checked""",
 )
 def ingest_run(spark, sf):
     source, output = _folder(spark, "source") + ".parquet", _folder(spark, "run")
-    # An id of its own for every row that has one: the run refuses repeated ones.
-    own = F.when(F.col("case_id").isNotNull(), F.monotonically_increasing_id())
-    cases(spark, sf).withColumn("case_id", own).write.parquet(source)
+    own = F.expr(OWN_ID.replace("l_orderkey", "case_id").replace("l_linenumber", "line"))
+    lines = cases(spark, sf, *CASE_COLUMNS, extra={"line": F.col("l_linenumber")})
+    lines.withColumn("case_id", own).drop("line").write.parquet(source)
     config = ingest.IngestConfig(source, output, date(2001, 12, 31), min_date="1996-06-01")
     first, second = ingest.run_pipeline(spark, config), ingest.run_pipeline(spark, config)
-    return ingest.read_control(spark, output).select(
-        "status", "stages_completed", "records_read", "records_valid", "records_quarantined",
-        F.lit(first).alias("first_run"), F.lit(second).alias("second_run"),
+    names = ["case_id", "opened_on", "status", "cause", "company", "case_type", "handling_days"]
+    kept = ingest.read_curated(spark, output).select(
+        F.lit("curated").alias("part"), *[F.col(c).cast("string") if c == "opened_on" else F.col(c) for c in names], F.lit("").alias("reason")
+    )
+    record = "case_id long, opened_on string, status string, cause string, company string, case_type string, handling_days double"
+    lost = ingest.read_quarantined(spark, output).select(F.from_json("record_data", record).alias("r"), "reason").select(
+        F.lit("quarantined").alias("part"), *[F.col(f"r.{c}") for c in names], "reason"
+    )
+    control = ingest.read_control(spark, output).select(
+        F.col("status").alias("status_of_run"), "stages_completed", F.lit(first).alias("first_run"), F.lit(second).alias("second_run")
     )
+    return kept.unionByName(lost).crossJoin(F.broadcast(control))  # one batch
 
 
 @query(

@@ -43,8 +43,8 @@ def _columns() -> dict[str, Column]:
 _ORDER_COLUMNS = {"opened_on", "status", "channel", "company", "marking", "close_reason"}
 
 
-def cases(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
-    """The case view, or only the wanted columns of it."""
+def cases(spark: SparkSession, sf_dir: str, *wanted: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """The case view, or only the wanted columns of it; ``extra`` are columns over the line items."""
     names = list(wanted) or CASE_COLUMNS
     need = set(names)
     df = table(spark, sf_dir, "lineitem")
@@ -59,7 +59,7 @@ def cases(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
     if "owner_unit" in need:
         df = df.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     columns = _columns()
-    return df.select(*[columns[n].alias(n) for n in names])
+    return df.select(*[columns[n].alias(n) for n in names], *[c.alias(n) for n, c in (extra or {}).items()])
 
 
 CASES = """

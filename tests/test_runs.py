@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casemill.plans import ingest, migrate as migration, report
+from casemill.schema import CASE_SCHEMA
 from casemill.sources import readers, sinks
 from casemill.workload import sources
 from casemill.workload.tables import cases
@@ -71,8 +72,9 @@ def test_ingest_run_is_idempotent(spark, sf, folder):
     row = ingest.read_control(spark, folder("out")).first()
     assert row.status == "completed" and row.stages_completed == ",".join(ingest.STAGES)
     assert row.records_read == row.records_valid + row.records_quarantined == cases(spark, sf).count()
-    assert spark.read.parquet(folder("out/curated")).count() == row.records_valid
-    assert spark.read.json(folder("out/quality/report")).first().total_record_count == row.records_read
+    assert ingest.read_curated(spark, folder("out")).count() == row.records_valid
+    assert ingest.read_quarantined(spark, folder("out")).count() == row.records_quarantined
+    assert ingest.read_report(spark, folder("out")).first().total_record_count == row.records_read
 
 
 def test_failed_run_is_recorded(spark, folder):
@@ -83,6 +85,54 @@ def test_failed_run_is_recorded(spark, folder):
     assert row.status == "failed" and row.stages_completed == "ingest" and row.error
 
 
+def case_rows(spark, rows):
+    """Cases from (id, opening day); all other required columns are filled, the rest is null."""
+    df = spark.createDataFrame(rows, "case_id long, opened_on string")
+    filled = {"status": "abierto", "cause": "a", "channel": "b", "company": "c", "case_type": "queja", "handling_days": 1.0}
+    columns = [F.col(f.name) if f.name in df.columns else F.lit(filled.get(f.name)) for f in CASE_SCHEMA.fields]
+    return df.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(columns, CASE_SCHEMA.fields)])
+
+
+BREAKS = {
+    "hash": ("source_files", readers), "control": ("pending_files", sinks), "ingest": ("read_source", readers),
+    "profile": ("export_report", sinks), "validate": ("write_quarantine", sinks), "enrich": ("violations", ingest),
+    "serve": ("write_curated", sinks), "publish": ("publish", ingest.commits), "after": ("release", ingest),
+}
+
+
+def test_a_run_that_fails_in_any_stage_shows_nothing_and_its_repetition_every_row_once(spark, folder, monkeypatch):
+    case_rows(spark, [(i, "2000-01-01" if i % 4 else "1980-01-01") for i in range(40)]).write.parquet(folder("in.parquet"))
+    config = ingest.IngestConfig(folder("in.parquet"), folder("out"), date(2001, 12, 31), min_date="1995-01-01")
+
+    def broken(*_, **__):
+        raise OSError("lost")
+
+    for stage, (name, module) in BREAKS.items():
+        with monkeypatch.context() as patch:
+            patch.setattr(module, name, broken)
+            assert ingest.run_pipeline(spark, config) == "failed", stage
+        visible = ingest.commits.batches(spark, folder("out"))
+        # The entry of the manifest is the commit: what fails after it has been published all the same.
+        assert len(visible) == (stage == "after"), stage
+    assert ingest.run_pipeline(spark, config) == "skipped"
+    assert sorted(r.case_id for r in ingest.read_curated(spark, folder("out")).collect()) == [i for i in range(40) if i % 4]
+    assert ingest.read_quarantined(spark, folder("out")).count() == 10
+    failed = ingest.read_control(spark, folder("out")).where("status = 'failed'")
+    assert failed.count() == len(BREAKS) and failed.where("file_hash IS NULL").count() == 2
+    # A second entry of the same source, as two runs at once would write, changes nothing.
+    ingest.commits.publish(spark, folder("out"), "other", ingest.commits.published(spark, folder("out")).first().source_key)
+    assert ingest.read_quarantined(spark, folder("out")).count() == 10
+
+
+def test_quarantine_of_all_batches_and_curated_rows_of_the_last(spark, folder):
+    for n, day in ((1, "2000-01-01"), (2, "2000-01-02")):
+        case_rows(spark, [(n, day), (9, None)]).write.parquet(folder(f"in{n}.parquet"))
+        config = ingest.IngestConfig(folder(f"in{n}.parquet"), folder("out"), date(2001, 12, 31), min_date="1995-01-01")
+        assert ingest.run_pipeline(spark, config) == "completed"
+    assert [r.case_id for r in ingest.read_curated(spark, folder("out")).collect()] == [2]
+    assert ingest.read_quarantined(spark, folder("out")).count() == 2
+
+
 def test_migration_loads_once(spark, sf, folder):
     source = sources._dirty(spark, sf)
     first = migration.migrate(spark, source, folder("t"), folder("q")).first()
