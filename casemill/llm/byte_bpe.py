@@ -48,6 +48,7 @@ PART_BYTES = 1 << 19
 #: Maps of a few pairs each, found by their place in an array.
 MAP_BUCKETS = 16381
 _NONE = (1 << 31) - 1
+_SHORT = 1 << 15
 _LETTER, _NUMBER, _SPACE = 1, 2, 3
 
 
@@ -182,14 +183,27 @@ def _words_of(packed: bytes, ranks: dict[bytes, int], fold_bytes: int, chunk_byt
     return words_of
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers as a byte each, with those from 255 on, in four planes, behind them."""
+    rare = numbers[numbers >= 255].astype(np.uint32)
+    data = np.minimum(numbers, 255).astype(np.uint8).tobytes() + np.ascontiguousarray(rare.view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def _numbers(blob: bytes, n: int) -> np.ndarray:
+    data = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    numbers = data[:n].astype(np.uint32)
+    numbers[numbers == 255] = np.ascontiguousarray(data[n:].reshape(4, -1).T).view(np.uint32).ravel()
+    return numbers
+
+
 def _texts_of(packed: bytes, chunk_bytes: int):
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, counts, codes, distinct in _numbered(batches, packed, chunk_bytes):
-            planes = np.ascontiguousarray(codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
             row = [
                 pa.array([_key(distinct)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                 pa.array([counts.astype(np.int64).tobytes()], pa.binary()),
-                pa.array([pa.compress(planes.tobytes(), codec="zstd", asbytes=True)], pa.binary()),
+                pa.array([_squeezed(codes)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(row, names=["chunk", "docs", "counts", "codes"])
 
@@ -301,6 +315,8 @@ def _assembled(kind: pa.DataType):
         places = answers["place"].to_numpy()
         of = answers["ids"].combine_chunks() if answers.num_rows else pa.array([], pa.list_(pa.int32()))
         values, offsets = of.flatten().to_numpy(), of.offsets.to_numpy().astype(np.int64)
+        if values.dtype == np.int16:
+            values = values.astype(np.int32) + _SHORT
         offsets = offsets - offsets[0]
         size = int(places.max()) + 1 if len(places) else 0
         start, length = np.zeros(size, np.int64), np.full(size, -1, np.int64)
@@ -309,8 +325,7 @@ def _assembled(kind: pa.DataType):
         for ids, counts, codes in zip(texts["docs"], texts["counts"], texts["codes"]):
             counts = np.frombuffer(counts.as_buffer(), np.int64)
             n = int(counts.sum())
-            planes = np.frombuffer(pa.decompress(codes.as_buffer(), 4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-            numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+            numbers = _numbers(codes.as_py(), n)
             if n and (numbers.max() >= size or length[numbers].min() < 0):
                 raise ValueError("the texts of a chunk changed between two readings")
             long = length[numbers]
@@ -339,7 +354,11 @@ def encoded(
     # One row of each word folds it, and the others take over its ids as they stream by.
     same = Window.partitionBy("word").orderBy("chunk", "place")
     first = words.withColumn("_first", F.row_number().over(same) == 1)
-    made = first.withColumn("made", F.when(F.col("_first"), F.coalesce("own", folded(F.col("word"), ranks))))
+    ids = F.coalesce("own", folded(F.col("word"), ranks))
+    if max(ranks.values()) < 2 * _SHORT:
+        # Two bytes for an id on the way back.
+        ids = F.transform(ids, lambda i: (i - _SHORT).cast("smallint"))
+    made = first.withColumn("made", F.when(F.col("_first"), ids))
     so_far = same.rowsBetween(Window.unboundedPreceding, 0)
     answers = made.select("chunk", "place", F.first("made", ignorenulls=True).over(so_far).alias("ids"))
     coded = StructType([
