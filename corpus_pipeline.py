@@ -15,30 +15,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from casemill.llm import jaccard_join, mixing, packing, quality_rules, suffix_dedup
 from casemill.session import durable
 
-ROW = "_row"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number for each row, in order of the id (null last) and of the other columns.
+    """(doc, row, text, source): the columns of ``docs`` in a struct, a number for each row, and what operators read.
 
-    Unique whole ids are these numbers. Otherwise the rows are sorted by ranges, numbered and stored; numbers
-    depend on the data only, rows that are equal throughout are interchangeable.
+    Numbers are in order of the id (null last) and of the other columns. Unique whole ids are these numbers.
+    Otherwise the rows are sorted by ranges, numbered and stored; numbers depend on the data only, rows that are
+    equal throughout are interchangeable.
     """
-    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    if whole and not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
-        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
-    order = ["doc_id", *[c for c in docs.columns if c != "doc_id"]]
-    placed = docs.orderBy(*[F.col(c).asc_nulls_last() for c in order]).withColumn("_at", F.monotonically_increasing_id())
-    placed = durable(placed.withColumn("_part", F.shiftright("_at", 33)))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    read = ["doc", "row", *[F.col(f"doc.{c}").alias(c) for c in ("text", "source") if c in kinds]]
+    whole = kinds["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    if whole and not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count():
+        return kept.withColumn("row", F.col("doc.doc_id").cast("long")).select(*read)
+    order = ["doc_id", *[c for c in docs.columns if c != "doc_id" and "map<" not in kinds[c]]]
+    placed = kept.orderBy(*[F.col(f"doc.`{c}`").asc_nulls_last() for c in order]).withColumn("at", F.monotonically_increasing_id())
+    placed = durable(placed.withColumn("part", F.shiftright("at", 33)))
     before, offsets = 0, []
     # One row per part of the sort.
-    for r in sorted(placed.groupBy("_part").count().collect()):
-        offsets.append((r["_part"], before - (r["_part"] << 33)))
-        before += r["count"]
-    starts = docs.sparkSession.createDataFrame(offsets, "_part long, _start long")
-    numbered = placed.join(F.broadcast(starts), "_part").withColumn(ROW, F.col("_at") + F.col("_start"))
-    return numbered.select(*docs.columns, ROW)
+    for r in sorted(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((r["part"], before - (r["part"] << 33)))
+        before += r["n"]
+    starts = docs.sparkSession.createDataFrame(offsets, "part long, start long")
+    return placed.join(F.broadcast(starts), "part").withColumn("row", F.col("at") + F.col("start")).select(*read)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,31 +50,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id stays."""
-    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
+    if docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         known = F.col("doc_id").isNotNull()
         docs = docs.where(~known).union(docs.where(known).dropDuplicates())
     rows = with_rows(docs)
-    gone = durable(jaccard_join.joined(rows, ROW).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(ROW)))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    links = jaccard_join.joined(rows, "row").where(F.col("doc_id") != F.col("component_id"))
+    gone = durable(links.select(F.col("doc_id").alias("row")))
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose what an earlier document, or an earlier part of the same one, already holds."""
     rows = with_rows(docs)
-    kept = durable(suffix_dedup.deduplicated(rows, ROW, with_text=True))
-    joined = rows.join(kept.select(F.col("doc_id").alias(ROW), "kept_text"), ROW, "left")
-    text = F.coalesce("kept_text", "text")
-    length = docs.schema["n_chars"].dataType
-    columns = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast(length)}
-    return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    kept = durable(suffix_dedup.deduplicated(rows, "row", with_text=True))
+    joined = rows.select("doc", "row").join(kept.select(F.col("doc_id").alias("row"), "kept_text"), "row", "left")
+    text = F.coalesce("kept_text", "doc.text")
+    columns = {"text": text}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[columns.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document appears as often as the mix takes it; what it does not take goes."""
     rows = with_rows(docs)
-    copies = mixing.mixed(rows, ROW).where("copies > 0").select(F.col("doc_id").alias(ROW), F.col("copies").alias("_copies"))
-    taken = rows.join(durable(copies), ROW)
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    copies = mixing.mixed(rows, "row").where("copies > 0").select(F.col("doc_id").alias("row"), "copies")
+    taken = rows.select("doc", "row").join(durable(copies), "row")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
