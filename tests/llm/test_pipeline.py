@@ -81,6 +81,17 @@ def test_only_the_near_copy_of_a_repeated_id_goes(spark):
 def test_row_numbers_follow_the_ids(spark):
     rows = [(i % 7 or None, clean(i, 1), "en", "s", 0) for i in range(50)]
     docs = spark.createDataFrame(rows, corpus(spark).schema).repartition(5)
-    numbered = sorted((r[corpus_pipeline.ROW], r.doc_id or 9, r.text) for r in corpus_pipeline.with_rows(docs).collect())
+    numbered = sorted((r.row, r.doc.doc_id or 9, r.doc.text) for r in corpus_pipeline.with_rows(docs).collect())
     assert [n for n, _, _ in numbered] == list(range(50))
     assert [r[1:] for r in numbered] == sorted((i or 9, t) for i, t, *_ in rows)
+
+
+def test_other_columns_may_have_any_name_and_n_chars_may_lack(spark):
+    more = ["_row", "_copy", "_copies", "kept_text", "copies", "row", "doc", "_at", "_part", "count", "part"]
+    rows = [(i % 30, clean(i % 25, 6), f"s{i % 3}", *[f"{c}{i % 30}" for c in more]) for i in range(40)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *[f"`{c}` string" for c in more]]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = durable(stage(spark, docs, ""))
+        assert docs.columns == ["doc_id", "text", "source", *more]
+        assert all(r[c] == f"{c}{r.doc_id}" for r in docs.collect() for c in more)
+    assert docs.count() > 0
