@@ -44,7 +44,7 @@ WIDTH = 5
 THRESHOLD = (75, 100)
 BLOCK_CLASSES = 128
 #: Bytes of text whose shingles one bucket holds.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 _BITS = 52
 _ROW_LIMIT = 1 << (64 - _BITS)
 _WEIGHTS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
