@@ -22,14 +22,15 @@ def _keys(spark: SparkSession, target: str) -> DataFrame:
 
 
 def migrate(
-    spark: SparkSession, source: DataFrame, target: str, quarantine: str, min_success: float = MIN_SUCCESS_PCT,
-    batch_id: str = "migration",
+    spark: SparkSession, source: DataFrame, target: str, quarantine: str, batch_id: str,
+    min_success: float = MIN_SUCCESS_PCT,
 ) -> DataFrame:
     """Run a migration into a Parquet table keyed by case id; one report row, counted from the target.
 
     ``loaded_count`` are the rows that this run added, ``present_count`` the valid source rows whose id the
     target holds afterwards, ``remaining_count`` those whose id it does not hold. Repeating a run loads
-    nothing new and replaces the quarantine rows of its ``batch_id``. A load error gives status ``aborted``
+    nothing new and replaces the quarantine rows of its ``batch_id``; those of other migrations stay, so each
+    migration needs an id of its own. A load error gives status ``aborted``
     with the counts of what the target really holds.
     """
     cleaned = durable(clean(source))

@@ -160,7 +160,7 @@ def ingest_run(spark, sf):
       (SELECT count(*) FROM failed) AS quarantined_count, (SELECT count(DISTINCT record_id) FROM failed) AS failed_records)""",
 )
 def migrate(spark, sf):
-    return migration.migrate(spark, sources._dirty(spark, sf), _folder(spark, "target"), _folder(spark, "quarantine"))
+    return migration.migrate(spark, sources._dirty(spark, sf), _folder(spark, "target"), _folder(spark, "quarantine"), "dirty")
 
 
 @query(

@@ -135,9 +135,9 @@ def test_quarantine_of_all_batches_and_curated_rows_of_the_last(spark, folder):
 
 def test_migration_loads_once(spark, sf, folder):
     source = sources._dirty(spark, sf)
-    first = migration.migrate(spark, source, folder("t"), folder("q")).first()
+    first = migration.migrate(spark, source, folder("t"), folder("q"), "m").first()
     loaded = spark.read.parquet(folder("t")).count()
-    migration.migrate(spark, source, folder("t"), folder("q"))
+    migration.migrate(spark, source, folder("t"), folder("q"), "m")
     assert spark.read.parquet(folder("t")).count() == loaded
     assert first.status == "failed" and first.source_count == source.count()
     assert first.quarantined_count >= first.failed_records
@@ -154,19 +154,28 @@ def test_report_names_unsupported_columns(spark):
 
 def test_migration_counts_come_from_the_target(spark, sf, folder):
     source = sources._dirty(spark, sf)
-    first = migration.migrate(spark, source, folder("t"), folder("q")).first()
+    first = migration.migrate(spark, source, folder("t"), folder("q"), "m").first()
     held, failures = spark.read.parquet(folder("t")).count(), spark.read.parquet(folder("q")).count()
     assert first.loaded_count == held and first.remaining_count == 0 and first.present_count >= held
-    again = migration.migrate(spark, source, folder("t"), folder("q")).first()
+    again = migration.migrate(spark, source, folder("t"), folder("q"), "m").first()
     assert again.loaded_count == 0 and again.present_count == first.present_count
     assert spark.read.parquet(folder("q")).count() == failures
 
 
+def test_migrations_keep_each_others_quarantine(spark, sf, folder):
+    source = sources._dirty(spark, sf)
+    migration.migrate(spark, source, folder("t"), folder("q"), "first")
+    failures = spark.read.parquet(folder("q")).count()
+    migration.migrate(spark, source, folder("t"), folder("q"), "second")
+    held = spark.read.parquet(folder("q")).groupBy("batch_id").count().collect()
+    assert failures > 0 and sorted(map(tuple, held)) == [("first", failures), ("second", failures)]
+
+
 def test_aborted_migration_reports_what_remains(spark, sf, folder, monkeypatch):
     def broken(*_):
         raise OSError("disk full " + "x" * 500)
 
     monkeypatch.setattr(migration, "insert_missing", broken)
-    row = migration.migrate(spark, sources._dirty(spark, sf), folder("t"), folder("q")).first()
+    row = migration.migrate(spark, sources._dirty(spark, sf), folder("t"), folder("q"), "m").first()
     assert row.status == "aborted" and row.loaded_count == 0 and row.present_count == 0 and row.remaining_count > 0
     assert row.error.endswith("x" * 500)
