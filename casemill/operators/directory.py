@@ -94,7 +94,8 @@ def throttled(
     event's window lies inside its own slot and the one before, so when those two hold at most
     ``limit`` events everything in the slot is accepted. The other slots, with their predecessors,
     form islands that are apart by at least one quiet slot and are scanned on their own. A hot key is
-    therefore many islands, and memory never exceeds ``limit`` times.
+    therefore many islands, and memory never exceeds ``limit`` times. Events without a time are refused and
+    use no allowance.
     """
     at = F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000.0
     slotted = events.withColumn("scan_at", at).withColumn("scan_slot", F.floor(F.col("scan_at") / seconds))
@@ -107,7 +108,7 @@ def throttled(
     by_key = Window.partitionBy(key).orderBy("scan_slot")
     islands = busy.withColumn("scan_island", F.col("scan_slot") - F.row_number().over(by_key))
     marked = slotted.join(islands, [key, "scan_slot"], "left")
-    calm = marked.where(F.col("scan_island").isNull()).withColumn("accepted", F.lit(True))
+    calm = marked.where(F.col("scan_island").isNull()).withColumn("accepted", F.col("scan_at").isNotNull())
     start, step = _throttle(limit, seconds)
     scanned = sequential_scan(
         marked.where(F.col("scan_island").isNotNull()),
@@ -123,14 +124,16 @@ def throttled(
 def send_outcomes(log: DataFrame, directory: DataFrame, limit: int = MAX_PER_MINUTE) -> DataFrame:
     """Outcome of each send attempt (send_id, sender, recipient, sent_at).
 
-    Unknown and inactive recipients are refused and do not use up the sender's allowance.
+    Unknown and inactive recipients are refused and do not use up the sender's allowance, as are sends without
+    a time.
     """
     known = directory.select("email", "status")
     looked_up = log.withColumn("_to", normal_address(F.col("recipient"))).join(
         known, F.col("_to") == F.col("email"), "left"
     )
     allowed = looked_up.where(F.col("status") == ACTIVE).select(*log.columns)
-    outcome = F.when(F.col("accepted"), F.lit("sent")).otherwise(F.lit("throttled"))
+    refusal = F.when(F.col("sent_at").isNull(), F.lit("no_time")).otherwise(F.lit("throttled"))
+    outcome = F.when(F.col("accepted"), F.lit("sent")).otherwise(refusal)
     tried = throttled(allowed, "sender", "sent_at", "send_id", limit).select(*log.columns, outcome.alias("outcome"))
     refused = looked_up.where(F.col("status").isNull() | (F.col("status") != ACTIVE)).select(
         *log.columns,

@@ -49,7 +49,8 @@ def throttle_stream(
 
     The state of a sender is the accepted times of its trailing window, at most ``limit`` of them, and
     is dropped once event time has moved a window beyond the last one. Sends at or before the watermark
-    come too late for it: they are refused with the outcome ``late`` and change nothing.
+    come too late for it: they are refused with the outcome ``late`` and change nothing, as are sends without
+    a time (``no_time``).
     """
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,20 +59,23 @@ def throttle_stream(
             return
         accepted = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "send_id"])
-        # In order of time, so the late ones come first.
+        # In order of time, so the late ones come first and those without a time last.
         late = int((rows["at"] * 1000 <= state.getCurrentWatermarkMs()).sum())
+        timed = int(rows["at"].notna().sum())
         outcome = [False] * late
-        for at in rows["at"].iloc[late:]:
+        for at in rows["at"].iloc[late:timed]:
             accepted = [t for t in accepted if t > at - seconds]
             ok = len(accepted) < limit
             if ok:
                 accepted.append(at)
             outcome.append(ok)
-        if accepted or late < len(rows):
+        if accepted or late < timed:
             state.update((accepted,))
-            newest = rows["at"].iloc[-1] if not accepted else max(accepted[-1], rows["at"].iloc[-1])
+            newest = max([*accepted[-1:], *rows["at"].iloc[:timed].tail(1)])
             state.setTimeoutTimestamp(max(int((newest + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         said = ["late"] * late + ["sent" if ok else "throttled" for ok in outcome[late:]]
+        untimed = len(rows) - timed
+        outcome, said = outcome + [False] * untimed, said + ["no_time"] * untimed
         yield pd.DataFrame(
             {
                 "sender": key[0], "send_id": rows["send_id"].values, "sent_at": rows["at"].values, "accepted": outcome,

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 from test_properties import _throttle
 
+from casemill.operators import directory
 from casemill.streaming import events as streams, files
 from casemill.workload import sources
 
@@ -117,3 +118,22 @@ def test_repeated_ids_do_not_reach_the_curated_table(spark, sf, folder):
     assert kept == ids > 0 and kept + lost == 50
     assert run(one) == (kept, kept, lost + 50)
     assert run(raw.where("id_pqr IS NOT NULL").limit(1).union(raw.where("id_pqr IS NOT NULL").limit(1)))[:2] == (kept, kept)
+
+
+def test_sends_without_a_time_are_refused(spark, folder):
+    path = folder("in")
+    schema = "sender long, s double, send_id long"
+    first = [(1, 0.0, 1), (1, None, 2), (1, 1.0, 3), (2, None, 4)]
+    second = [(1, None, 5), (1, 2.0, 6), (1, 3.0, 7), (2, 4.0, 8)]
+    for rows in (first, second):
+        arrive(spark, path, rows, schema)
+    stream = source(spark, path).withColumnRenamed("ts", "sent_at").select("sender", "send_id", "sent_at")
+    out = files.run_to_table(streams.throttle_stream(stream, limit=3), folder("out"), folder("check"))
+    found = {r.send_id: (r.accepted, r.outcome) for r in out.collect()}
+    sent, untimed = (True, "sent"), (False, "no_time")
+    assert found == {1: sent, 2: untimed, 3: sent, 4: untimed, 5: untimed, 6: sent, 7: (False, "throttled"), 8: sent}
+
+    log = spark.read.parquet(path).withColumnRenamed("ts", "sent_at").withColumn("recipient", F.lit("a@b.co"))
+    known = spark.createDataFrame([("a@b.co", directory.ACTIVE)], "email string, status string")
+    batch = directory.send_outcomes(log, known, limit=3)
+    assert {r.send_id: r.outcome for r in batch.collect()} == {i: outcome for i, (_, outcome) in found.items()}
