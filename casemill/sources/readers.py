@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from casemill.functions.numbers import to_double
 from casemill.functions.text import normalize_status, spreadsheet_date
 from casemill.schema import CASE_SCHEMA, SOURCE_NAMES
+from casemill.sources import digests
 
+ROW_BYTES = 128 * 2**20
 FORMATS = ("csv", "json", "parquet", "orc", "text")
 _SUFFIXES = {"csv": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet",
              "orc": "orc", "txt": "text"}
@@ -63,21 +65,38 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASE_SCHEMA).parquet(path)
 
 
-def source_files(spark: SparkSession, path: str, glob: str = "*", by: str = "content") -> DataFrame:
+def source_files(
+    spark: SparkSession,
+    path: str,
+    glob: str = "*",
+    by: str = "content",
+    row_bytes: int = ROW_BYTES,
+    range_bytes: int = digests.RANGE_BYTES,
+    opener: digests.Opener = digests.open_file,
+) -> DataFrame:
     """Files with size and SHA-256, hashed where they are read.
 
-    ``by="content"`` reads every byte and needs files below 2 GB. ``by="listing"`` hashes path, size
-    and modification time instead and reads nothing, for sources too large to be read twice.
+    ``by="content"`` is the SHA-256 of all bytes: files of at most ``row_bytes`` travel as one row, larger
+    ones are streamed by a task each. ``by="tree"`` hashes byte ranges of ``range_bytes`` in parallel and
+    joins them as a tree, for files too large for one task. ``by="listing"`` hashes path, size and
+    modification time instead and reads nothing, for sources too large to be read twice. Empty files are not
+    listed, since Spark plans no read of them. ``opener`` opens
+    a path of a store that pyarrow does not know.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    listing = F.concat_ws("|", F.col("path"), F.col("length").cast("string"), F.col("modificationTime").cast("string"))
-    hashed = F.sha2(F.col("content"), 256) if by == "content" else F.sha2(listing, 256)
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-        "path",
-        F.col("length").alias("bytes"),
-        hashed.alias("sha256"),
-    )
+    files = digests.list_files(spark, path, glob)
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name")
+    facts = [name, "path", F.col("length").alias("bytes")]
+    if by == "listing":
+        parts = [F.col("path"), F.col("length").cast("string"), F.col("modificationTime").cast("string")]
+        return files.select(*facts, F.sha2(F.concat_ws("|", *parts), 256).alias("sha256"))
+    if by == "tree":
+        listed = files.select("path", "length")
+        return listed.join(digests.tree_digests(listed, range_bytes, opener=opener), "path").select(*facts, "sha256")
+    if by != "content":
+        raise ValueError(f"unknown fingerprint {by}; expected content, tree or listing")
+    held = files.where(F.col("length") <= row_bytes).select(*facts, F.sha2(F.col("content"), 256).alias("sha256"))
+    large = files.where(F.col("length") > row_bytes).select("path", "length")
+    return held.unionByName(large.join(digests.stream_digests(large, opener), "path").select(*facts, "sha256"))
 
 
 def source_digest(files: DataFrame) -> DataFrame:
