@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Executors need not have this package installed: its functions travel with the plan.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,3 +52,30 @@ def sequential_scan(
             yield out
 
     return ordered.mapInPandas(run, StructType([*df.schema.fields, *added.fields]))
+
+
+def running_fold(
+    df: DataFrame, keys: Sequence[str], value: str, start: str, combine: Callable[[str, str], str], before: str, after: str
+) -> DataFrame:
+    """Fold the strings of ``value`` per key, in the order in which the rows of each partition come.
+
+    ``before`` holds the result over the earlier rows of the key in the same partition (``start`` for its
+    first), ``after`` that with the row itself. Other columns pass through unread.
+    """
+    keys = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, folded = None, start
+        for batch in batches:
+            earlier, later = [], []
+            rows = zip(batch.column(value).to_pylist(), *(batch.column(k).to_pylist() for k in keys))
+            for item, *key in rows:
+                if key != current:
+                    current, folded = key, start
+                earlier.append(folded)
+                folded = combine(folded, item)
+                later.append(folded)
+            added = [pa.array(earlier, pa.string()), pa.array(later, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, before, after])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(before, StringType()), StructField(after, StringType())]))

@@ -8,8 +8,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casemill.functions.joins import small
+from casemill.functions.scan import running_fold
 from casemill.functions.text import strip
 from casemill.operators.access import ROLES
+from casemill.session import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -119,13 +121,27 @@ def request_rules():
     return start, step
 
 
-def _longest_path() -> int:
-    """Most state changes a request can go through."""
+def _situations() -> list[tuple[str, int]]:
+    """All (state, version) pairs a request can be in, the initial one first."""
+    found = [(INITIAL, 1)]
+    for state, version in found:  # grows while it is read
+        found.extend((b, version + 1) for a, b in TRANSITIONS if a == state and (b, version + 1) not in found)
+    return found
+
+
+SITUATIONS = _situations()
+# One letter per situation. What attempts do to a request is a word with one letter per situation: where it
+# leads from there. Words compose by ``translate``, in Spark and in Python alike.
+LETTERS = "".join(chr(ord("a") + i) for i in range(len(SITUATIONS)))
+
 
-    def depth(state: str) -> int:
-        return max((1 + depth(b) for a, b in TRANSITIONS if a == state), default=0)
+def _compose(first: str, then: str) -> str:
+    return first if then == LETTERS else first.translate(str.maketrans(LETTERS, then))
 
-    return depth(INITIAL)
+
+def _led_by(situation: Column, word: Column) -> Column:
+    """Letter of the situation that a word leads to."""
+    return F.call_function("translate", situation, F.lit(LETTERS), word)
 
 
 def _granted(state: Column) -> Column:
@@ -138,57 +154,79 @@ def _same_version(version: Column) -> Column:
     return F.col("expected_version").isNull() | (F.col("expected_version") == version)
 
 
-def _changes(log: DataFrame) -> DataFrame:
-    """Per request its accepted changes in order: (request_id, change_1, change_2, …), null when not reached.
+def _word() -> Column:
+    """What one attempt does in every situation; whether it is accepted depends on nothing else."""
+    able = F.col("role").isin(*ROLES) & ~F.col("role").isin(*NEVER_CHANGE) & ~too_short(F.col("justification"))
+    letter = dict(zip(SITUATIONS, LETTERS))
+    leads = []
+    for (state, version), stays in letter.items():
+        there = F.lit(stays)
+        for a, b in TRANSITIONS:
+            if a == state:
+                moves = able & (F.col("target_state") == b) & _granted(F.lit(a)) & _same_version(F.lit(version))
+                there = F.when(moves, F.lit(letter[b, version + 1])).otherwise(there)
+        leads.append(there)
+    return F.concat(*leads)
+
+
+def _dealt(log: DataFrame) -> DataFrame:
+    """The log in order, dealt by ranges of (request, time), with the word of the attempts before each one
+    in its range (``_before``) and with itself (``_after``): one pass, and a request may fill many ranges."""
+    order = ["request_id", "attempted_at", "attempt_id", "target_state", "role", "justification", "expected_version"]
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = (
+        log.withColumn("_word", _word())
+        .repartitionByRange(parts, *order)
+        .withColumn("_range", F.spark_partition_id())
+        .sortWithinPartitions(*order)
+    )
+    return running_fold(ranges, ["request_id"], "_word", LETTERS, _compose, "_before", "_after").drop("_word")
+
 
-    The next change is the earliest attempt after the last one that the current state and version
-    accept, a minimum that is combined before the shuffle. A request changes state a handful of times
-    at most, so a few rounds find all changes however many attempts there are on one request.
+def _met() -> Column:
+    return (F.col("_range") == F.col("_at")) & F.col("request_id").eqNullSafe(F.col("_id"))
+
+
+def _carried(dealt: DataFrame) -> DataFrame:
+    """(_at, _id, _carry): the situation in which a request enters a range that it shares.
+
+    Only the first and the last request of a range can be shared, so this is two rows a range at most.
     """
-    eligible = log.where(
-        F.col("role").isin(*ROLES) & ~F.col("role").isin(*NEVER_CHANGE) & ~too_short(F.col("justification"))
-    ).select(
-        "request_id",
-        F.struct("attempted_at", "attempt_id").alias("_at"),
-        "target_state",
-        "role",
-        "expected_version",
+    request = F.struct("request_id")  # a struct orders null ids first, as the ranges do
+    ends = dealt.groupBy("_range").agg(F.min(request).alias("_first"), F.max(request).alias("_last"))
+    shared = F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_end")
+    wanted = ends.select(F.col("_range").alias("_at"), shared).select("_at", F.col("_end.request_id").alias("_id"))
+    position = F.struct("attempted_at", "attempt_id", "target_state", "role", "justification", "expected_version")
+    pieces = (
+        dealt.join(F.broadcast(wanted), _met())
+        .groupBy("request_id", "_range")
+        .agg(F.max_by("_after", position).alias("_whole"))
+    )
+    ordered = pieces.repartition("request_id").sortWithinPartitions("request_id", "_range")
+    return running_fold(ordered, ["request_id"], "_whole", LETTERS[0], _compose, "_carry", "_left").select(
+        F.col("_range").alias("_at"), F.col("request_id").alias("_id"), "_carry"
     )
-    change = F.min(F.struct(F.col("_at").alias("at"), F.col("target_state").alias("state")))
-    first = eligible.where(_granted(F.lit(INITIAL)) & _same_version(F.lit(1)))
-    found = first.groupBy("request_id").agg(change.alias("change_1"))
-    for number in range(2, _longest_path() + 1):
-        last = F.col(f"change_{number - 1}")
-        moving = found.where(last.isNotNull() & ~last["state"].isin(*TERMINAL)).select(
-            "request_id", last["at"].alias("_since"), last["state"].alias("_state")
-        )
-        following = (
-            eligible.join(moving, "request_id")
-            .where((F.col("_at") > F.col("_since")) & _granted(F.col("_state")) & _same_version(F.lit(number)))
-            .groupBy("request_id")
-            .agg(change.alias(f"change_{number}"))
-        )
-        found = found.join(following, "request_id", "left")
-    return found
 
 
 def replay_transitions(log: DataFrame) -> DataFrame:
     """Outcome of every attempt (request_id, attempt_id, attempted_at, target_state, role, justification,
     expected_version) in time order: code, reason, and the state and version after it.
 
-    State and version at an attempt follow from the accepted changes before it, so each attempt is
-    judged on its own beside its request's few changes.
+    What attempts do composes associatively, so ranges of the log are folded side by side, however many
+    attempts one request has, and each range starts from the situation that the ones before it lead to.
+    Attempts without a request id belong to one request, those without a time come first, and attempts
+    with the same time and id follow their other columns.
     """
-    changes = [F.col(f"change_{n}") for n in range(1, _longest_path() + 1)]
-    here = F.struct("attempted_at", "attempt_id")
-    state, done, accepted = F.lit(INITIAL), F.lit(0), F.lit(False)
-    for c in changes:
-        earlier = F.coalesce(c["at"] < here, F.lit(False))
-        state = F.when(earlier, c["state"]).otherwise(state)
-        done = done + earlier.cast("int")
-        accepted = accepted | F.coalesce(c["at"] == here, F.lit(False))
-    judged = log.join(_changes(log), "request_id", "left").select(
-        *log.columns, state.alias("_state"), (done + 1).cast("long").alias("_version"), accepted.alias("_accepted")
+    dealt = durable(_dealt(log))
+    # At most two rows a range.
+    placed = dealt.join(F.broadcast(_carried(dealt)), _met(), "left")
+    situation = _led_by(F.coalesce("_carry", F.lit(LETTERS[0])), F.col("_before"))
+    number = F.instr(F.lit(LETTERS), situation)
+    states, versions = zip(*SITUATIONS)
+    judged = placed.withColumn("_number", number).select(
+        *log.columns,
+        F.element_at(F.array(*map(F.lit, states)), F.col("_number")).alias("_state"),
+        F.element_at(F.array(*map(F.lit, versions)), F.col("_number")).cast("long").alias("_version"),
     )
     now = F.col("_state")
     pairs = [F.concat_ws(">", F.lit(a), F.lit(b)) for a, b in TRANSITIONS]
@@ -205,12 +243,14 @@ def replay_transitions(log: DataFrame) -> DataFrame:
     for broken, number, name in reversed(checks):
         code = F.when(broken, F.lit(number)).otherwise(code)
         reason = F.when(broken, F.lit(name)).otherwise(reason)
-    return judged.select(
+    result = judged.withColumns({"_code": code.cast("long"), "_reason": reason})
+    accepted = F.col("_code") == 200
+    return result.select(
         *log.columns,
-        code.cast("long").alias("code"),
-        reason.alias("reason"),
-        F.when(F.col("_accepted"), F.col("target_state")).otherwise(now).alias("state"),
-        (F.col("_version") + F.col("_accepted").cast("int")).alias("version"),
+        F.col("_code").alias("code"),
+        F.col("_reason").alias("reason"),
+        F.when(accepted, F.col("target_state")).otherwise(now).alias("state"),
+        (F.col("_version") + accepted.cast("int")).alias("version"),
     )
 
 
