@@ -191,6 +191,56 @@ def check_decisions(
     ).select(*decisions.columns, "outcome", status.alias("new_status"))
 
 
+def _details(**fields: Column) -> Column:
+    return F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def decision_audit(
+    checked: DataFrame, approvals: DataFrame, order: Sequence[str] = ("decided_at", "decision_id")
+) -> DataFrame:
+    """Audit rows (user_id, action, resource, resource_id, result, details) of what :func:`check_decisions` found.
+
+    ``checked`` also holds ``approver_id``. An applied decision and one of the wrong role write a row each. An
+    approval expires once: the first decision that comes too late ends it, and writes a row if it was to approve.
+    The other outcomes write none.
+    """
+    approving = F.col("decision") == "approved"
+    facts = approvals.select("approval_id", F.col("operation").alias("_operation"), F.col("approver_role").alias("_role"))
+    applied, mismatch = F.col("outcome") == "APPLIED", F.col("outcome") == "ROLE_MISMATCH"
+    action = (
+        F.when(applied & approving, F.lit("APPROVAL_GRANTED"))
+        .when(applied, F.lit("APPROVAL_REJECTED"))
+        .when(approving, F.lit("APPROVAL_DENIED"))
+        .otherwise(F.lit("APPROVAL_REJECT_DENIED"))
+    )
+    what = _details(operation=F.col("_operation"), justification=F.col("justification"))
+    why = _details(
+        reason=F.lit("role_mismatch"), required_role=F.col("_role"), actual_role=F.col("approver_role")
+    )
+    resource = F.lit("/api/approvals").alias("resource")
+    resource_id = F.col("approval_id").cast("string").alias("resource_id")
+    judged = checked.where(applied | mismatch).join(facts, "approval_id").select(
+        F.col("approver_id").alias("user_id"),
+        action.alias("action"),
+        resource,
+        resource_id,
+        F.when(applied, F.lit("success")).otherwise(F.lit("failure")).alias("result"),
+        F.when(applied, what).otherwise(why).alias("details"),
+    )
+    first = F.min_by(F.struct("approver_id", "decision"), F.struct(*order)).alias("_first")
+    expired = checked.where(F.col("outcome") == "EXPIRED").groupBy("approval_id").agg(first)
+    reason = _details(reason=F.lit(f"{EXPIRY_HOURS}-hour expiration window exceeded"))
+    ended = expired.where(F.col("_first.decision") == "approved").select(
+        F.col("_first.approver_id").alias("user_id"),
+        F.lit("APPROVAL_EXPIRED").alias("action"),
+        resource,
+        resource_id,
+        F.lit("failure").alias("result"),
+        reason.alias("details"),
+    )
+    return judged.unionByName(ended)
+
+
 def list_approvals(
     steps: DataFrame,
     applications: DataFrame,

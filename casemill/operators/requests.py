@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from casemill.functions.joins import small
 from casemill.functions.scan import running_fold
 from casemill.functions.text import strip
-from casemill.operators.access import ROLES
+from casemill.operators.access import ROLES, check_partner_sender
 from casemill.session import durable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -254,6 +254,64 @@ def replay_transitions(log: DataFrame) -> DataFrame:
     )
 
 
+def _absent(value: Column) -> Column:
+    return F.coalesce(F.length(value.cast("string")) == 0, F.lit(True))
+
+
+def create_requests(asked: DataFrame, partners: DataFrame, emails: DataFrame) -> DataFrame:
+    """Add ``code``, ``reason``, ``radicado`` and ``current_state`` to new cancellation requests (request_id,
+    case_id, requested_by, partner_id, sender_email, justification, asked_at).
+
+    Code 201 creates the request in the initial state; the first failing check decides. Created requests keep
+    the justification without outer blanks and the sender in lower case. The radicado follows from the day
+    and ``request_id``, so that a repeated run gives the same.
+    """
+    judged = check_partner_sender(asked, partners, emails).withColumnRenamed("reason", "_denied")
+    checks = [
+        (_absent(F.col("partner_id")), 400, F.lit("partner_id_required")),
+        (_absent(F.col("sender_email")), 400, F.lit("sender_email_required")),
+        (~F.col("authorized"), 403, F.col("_denied")),
+        (_absent(F.col("case_id")), 400, F.lit("case_id_required")),
+        (too_short(F.col("justification")), 400, F.lit("justification_too_short")),
+    ]
+    code, reason = F.lit(201), F.lit("created")
+    for broken, number, name in reversed(checks):
+        code, reason = F.when(broken, F.lit(number)).otherwise(code), F.when(broken, name).otherwise(reason)
+    created = F.col("code") == 201
+    mark = F.upper(F.substring(F.sha2(F.col("request_id").cast("string"), 256), 1, 12))
+    kept = {
+        "justification": F.when(created, strip(F.col("justification"))).otherwise(F.col("justification")),
+        "sender_email": F.when(created, F.lower("sender_email")).otherwise(F.col("sender_email")),
+    }
+    return judged.withColumns({"code": code, "reason": reason}).select(
+        *[kept[c].alias(c) if c in kept else F.col(c) for c in asked.columns],
+        "code",
+        "reason",
+        F.when(created, F.concat(F.lit("ANU-"), F.date_format("asked_at", "yyyyMMdd"), F.lit("-"), mark)).alias("radicado"),
+        F.when(created, F.lit(INITIAL)).alias("current_state"),
+    )
+
+
+def creation_audit(checked: DataFrame, classification: str = "REAL_DATA") -> DataFrame:
+    """Audit rows (user_id, action, resource, resource_id, result, details) of what :func:`create_requests` found:
+    one for every request that was created, and one for every sender that its partner has not authorized."""
+    created = F.col("code") == 201
+    keep_nulls = {"ignoreNullFields": "false"}
+    made = F.to_json(
+        F.struct("case_id", "radicado", F.col("current_state").alias("initial_state"), "justification",
+                 F.lit(classification).alias("data_classification"), "partner_id"), keep_nulls
+    )
+    refused = F.to_json(F.struct("sender_email", "partner_id", "reason"), keep_nulls)
+    return checked.where(F.col("code").isin(201, 403)).select(
+        F.coalesce(F.col("requested_by").cast("string"), F.lit("unknown")).alias("user_id"),
+        F.when(created, F.lit("CREATE_ANNULATION")).otherwise(F.lit("EMAIL_AUTHORIZATION_DENIED")).alias("action"),
+        F.lit("/api/annulations").alias("resource"),
+        F.when(created, F.col("request_id").cast("string")).otherwise(F.col("partner_id").cast("string")).alias("resource_id"),
+        F.when(created, F.lit("success")).otherwise(F.lit("failure")).alias("result"),
+        F.when(created, made).otherwise(refused).alias("details"),
+    )
+
+
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:
     """One page of an order that ends in a unique column, with the total beside each row."""
     total = df.agg(F.count(F.lit(1)).alias("total"))

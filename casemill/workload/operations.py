@@ -410,6 +410,61 @@ def valid_targets(spark, sf):
     return _attempts(spark, sf).join(targets, ["current_state", "role"]).select("attempt_id", "targets")
 
 
+_WHY = (" a long enough reason ", "short", None, "another good reason")
+
+
+def _asked(spark, sf):
+    key = F.col("event_id")
+    partner = F.when(key % 11 == 0, F.lit(None)).otherwise(key % 115)
+    return table(spark, sf, "events").select(
+        key.alias("request_id"),
+        F.when(key % 13 != 0, F.col("user_id")).alias("case_id"),
+        F.col("user_id").alias("requested_by"),
+        partner.cast("long").alias("partner_id"),
+        F.when(key % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("P"), key % 230, F.lit("@x.Example"))).alias("sender_email"),
+        pick(_WHY, F.floor(key / 3)).alias("justification"),
+        F.col("ts").alias("asked_at"),
+    )
+
+
+ASKED = f"""{PARTNERS}, asked AS (SELECT event_id AS request_id, CASE WHEN event_id % 13 <> 0 THEN user_id END AS case_id,
+    user_id AS requested_by, CASE WHEN event_id % 11 <> 0 THEN event_id % 115 END AS partner_id,
+    CASE WHEN event_id % 17 = 0 THEN '' ELSE 'P' || (event_id % 230) || '@x.Example' END AS sender_email,
+    ([' a long enough reason ', 'short', NULL, 'another good reason'])[CAST(event_id // 3 % 4 + 1 AS INTEGER)] AS justification, ts AS asked_at
+    FROM events),
+  seen AS (SELECT asked.*, CASE WHEN asked.partner_id IS NULL THEN 'partner_id_required' WHEN sender_email = '' THEN 'sender_email_required'
+      WHEN p.status IS NULL THEN 'partner_not_found' WHEN p.status <> 'active' THEN 'partner_inactive'
+      WHEN active_email IS NULL THEN 'no_active_email_configured' WHEN lower(trim(sender_email)) <> active_email THEN 'email_mismatch'
+      WHEN case_id IS NULL THEN 'case_id_required' WHEN coalesce(length(trim(justification)), 0) < 10 THEN 'justification_too_short'
+      ELSE 'created' END AS reason
+    FROM asked LEFT JOIN partners p ON asked.partner_id = p.partner_id LEFT JOIN single s ON asked.partner_id = s.partner_id),
+  made AS (SELECT request_id, case_id, requested_by, partner_id, CASE reason WHEN 'created' THEN lower(sender_email) ELSE sender_email END AS sender_email,
+    CASE reason WHEN 'created' THEN trim(justification) ELSE justification END AS justification, asked_at,
+    CASE WHEN reason = 'created' THEN 201 WHEN reason IN ('partner_not_found', 'partner_inactive', 'no_active_email_configured', 'email_mismatch') THEN 403 ELSE 400 END AS code,
+    reason, CASE reason WHEN 'created' THEN 'ANU-' || strftime(asked_at, '%Y%m%d') || '-' || upper(substr(sha256(CAST(request_id AS VARCHAR)), 1, 12)) END AS radicado,
+    CASE reason WHEN 'created' THEN 'Solicitada' END AS current_state FROM seen)"""
+
+
+@query("ops16_create_requests", f"WITH {ASKED} SELECT * FROM made")
+def create_requests(spark, sf):
+    return requests.create_requests(_asked(spark, sf), *_partners(spark, sf))
+
+
+@query(
+    "ops16_creation_audit",
+    f"""WITH {ASKED} SELECT CAST(requested_by AS VARCHAR) AS user_id, '/api/annulations' AS resource,
+      CASE code WHEN 201 THEN 'CREATE_ANNULATION' ELSE 'EMAIL_AUTHORIZATION_DENIED' END AS action,
+      CAST(CASE code WHEN 201 THEN request_id ELSE partner_id END AS VARCHAR) AS resource_id,
+      CASE code WHEN 201 THEN 'success' ELSE 'failure' END AS result,
+      CAST(CASE code WHEN 201 THEN json_object('case_id', case_id, 'radicado', radicado, 'initial_state', current_state, 'justification', justification,
+        'data_classification', 'REAL_DATA', 'partner_id', partner_id)
+        ELSE json_object('sender_email', sender_email, 'partner_id', partner_id, 'reason', reason) END AS VARCHAR) AS details
+    FROM made WHERE code IN (201, 403)""",
+)
+def creation_audit(spark, sf):
+    return requests.creation_audit(requests.create_requests(_asked(spark, sf), *_partners(spark, sf)))
+
+
 def _transition_log(spark, sf):
     """Attempts on one request per customer, a third of them on a single request."""
     key = F.col("event_id")
@@ -671,6 +726,29 @@ def check_decisions(spark, sf):
     return approvals.check_decisions(_decisions(spark, sf), _approvals(spark, sf), _stamp(SNAPSHOT))
 
 
+@query(
+    "ops27_decision_audit",
+    f"""WITH d AS ({_decision_sql(False)}), {APPROVALS}, j AS (
+      SELECT d.*, CAST(d.approval_id % 97 AS VARCHAR) AS user_id, a.operation, a.approver_role AS required
+      FROM d JOIN approvals a ON a.approval_id = d.approval_id),
+    e AS (SELECT approval_id, arg_min(decision, ROW(decided_at, decision_id)) AS decision, min(user_id) AS user_id
+      FROM j WHERE outcome = 'EXPIRED' GROUP BY approval_id)
+    SELECT user_id, CASE WHEN outcome = 'APPLIED' THEN CASE decision WHEN 'approved' THEN 'APPROVAL_GRANTED' ELSE 'APPROVAL_REJECTED' END
+        WHEN decision = 'approved' THEN 'APPROVAL_DENIED' ELSE 'APPROVAL_REJECT_DENIED' END AS action,
+      '/api/approvals' AS resource, CAST(approval_id AS VARCHAR) AS resource_id,
+      CASE outcome WHEN 'APPLIED' THEN 'success' ELSE 'failure' END AS result,
+      CAST(CASE outcome WHEN 'APPLIED' THEN json_object('operation', operation, 'justification', justification)
+        ELSE json_object('reason', 'role_mismatch', 'required_role', required, 'actual_role', approver_role) END AS VARCHAR) AS details
+    FROM j WHERE outcome IN ('APPLIED', 'ROLE_MISMATCH')
+    UNION ALL SELECT user_id, 'APPROVAL_EXPIRED', '/api/approvals', CAST(approval_id AS VARCHAR), 'failure',
+      CAST(json_object('reason', '72-hour expiration window exceeded') AS VARCHAR) FROM e WHERE decision = 'approved'""",
+)
+def decision_audit(spark, sf):
+    known = _approvals(spark, sf)
+    named = _decisions(spark, sf).withColumn("approver_id", (F.col("approval_id") % 97).cast("string"))
+    return approvals.decision_audit(approvals.check_decisions(named, known, _stamp(SNAPSHOT)), known)
+
+
 @query("ops27_check_decisions_in_order", _decision_sql(True))
 def check_decisions_in_order(spark, sf):
     known = _approvals(spark, sf)
