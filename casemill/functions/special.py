@@ -84,7 +84,36 @@ def beta_regularized(a: float, b: float, x: float) -> float:
     return front / (a * _lentz(1.0, term))
 
 
+def _log_gamma_step(a: float, b: float) -> float:
+    """ln Γ(a + b) - ln Γ(a) without subtracting two large numbers, for a small ``b``."""
+    if a < 16.0:
+        return math.lgamma(a + b) - math.lgamma(a)
+
+    def rest(z: float) -> float:
+        return 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+
+    return (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b + rest(a + b) - rest(a)
+
+
+def _t_within(t: float, dof: float) -> float:
+    """P(-t < T < t) as a series of positive terms, which keeps its digits for any number of degrees of freedom."""
+    half, y = dof / 2.0, t * t / (dof + t * t)
+    front = _log_gamma_step(half, 0.5) - math.lgamma(0.5) + 0.5 * math.log(y) + half * math.log1p(-y) + math.log(2.0)
+    part = total = 1.0
+    for i in range(_STEPS):
+        part *= (half + 0.5 + i) / (1.5 + i) * y
+        total += part
+        if part < total * 1e-17:
+            return min(1.0, total * math.exp(front))
+    raise ArithmeticError(f"a series did not converge in {_STEPS} steps")
+
+
 def t_cdf(t: float, dof: float) -> float:
+    if t == 0:
+        return 0.5
+    if t * t <= min(dof, 64.0):
+        return 0.5 + math.copysign(0.5 * _t_within(abs(t), dof), t)
+    # Further out the fraction gives the tail itself.
     tail = 0.5 * beta_regularized(dof / 2.0, 0.5, dof / (dof + t * t))
     return 1.0 - tail if t >= 0 else tail
 

@@ -2,6 +2,7 @@
 
 import math
 from datetime import date
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,27 @@ def test_tails():
     assert special.normal_quantiles([0.975])[0] == pytest.approx(1.959963984540054, abs=1e-8)
 
 
+@pytest.mark.parametrize("dof, expected", [(2, 4.302652729911275), (3, 3.182446305284263), (4, 2.776445105197793),
+                                           (9, 2.2621571627409915), (30, 2.0422724563012373), (100, 1.9839715184496334)])
+def test_t_quantiles_of_few_degrees(dof, expected):
+    assert special.t_quantile(0.975, dof) == pytest.approx(expected, abs=1e-8)
+    assert special.t_quantile(0.025, dof) == pytest.approx(-expected, abs=1e-8)
+    assert special.t_cdf(0.0, dof) == 0.5
+
+
+@pytest.mark.parametrize("power", range(3, 16))
+@pytest.mark.parametrize("p", [0.6, 0.9, 0.975, 0.995, 0.9999])
+def test_t_quantiles_of_many_degrees(power, p):
+    z, v = NormalDist().inv_cdf(p), 10.0**power
+    expansion = (
+        z
+        + (z**3 + z) / (4 * v)
+        + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2)
+        + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3)
+    )
+    assert special.t_quantile(p, v) == pytest.approx(expansion, abs=1e-8)
+
+
 def test_score_sums_match_direct_sum():
     n = 5000
     whole = special.normal_score(range(1, n + 1), n)
