@@ -84,7 +84,7 @@ def expire_approvals(approvals: DataFrame, as_of: Column) -> tuple[DataFrame, Da
     updated = approvals.withColumn("status", F.when(due, F.lit("expired")).otherwise(F.col("status")))
     audit = approvals.where(due).select(
         F.lit("SYSTEM").alias("user_id"),
-        F.lit("APPROVAL_EXPIRED").alias("action"),
+        F.lit("APPROVAL_AUTO_EXPIRED").alias("action"),
         F.col("approval_id").cast("string").alias("resource_id"),
         F.lit("success").alias("result"),
     )

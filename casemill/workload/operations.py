@@ -602,7 +602,7 @@ def expire_approvals(spark, sf):
     return approvals.expire_approvals(_approvals(spark, sf), _stamp(SNAPSHOT))[0].select("approval_id", "status", "expires_at")
 
 
-@query("ops20_expiry_audit", f"WITH {APPROVALS} SELECT 'SYSTEM' AS user_id, 'APPROVAL_EXPIRED' AS action, CAST(approval_id AS VARCHAR) AS resource_id, 'success' AS result FROM approvals WHERE {OVERDUE}")
+@query("ops20_expiry_audit", f"WITH {APPROVALS} SELECT 'SYSTEM' AS user_id, 'APPROVAL_AUTO_EXPIRED' AS action, CAST(approval_id AS VARCHAR) AS resource_id, 'success' AS result FROM approvals WHERE {OVERDUE}")
 def approval_audit(spark, sf):
     return approvals.expire_approvals(_approvals(spark, sf), _stamp(SNAPSHOT))[1]
 
