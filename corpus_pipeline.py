@@ -7,7 +7,8 @@ that repeat an id and are equal throughout are one document from the near-duplic
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,23 @@ from casemill.llm import jaccard_join, mixing, packing, quality_rules, suffix_de
 from casemill.session import durable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Bytes of an Arrow batch on its way to a Python worker, in stages that follow large shuffles.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send batches of about ``BATCH_BYTES``: a batch is in memory on both sides of the pipe.
+
+    A batch still holds whole rows, so results do not depend on it. The session's own setting comes back.
+    """
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
@@ -54,15 +72,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         known = F.col("doc_id").isNotNull()
         docs = docs.where(~known).union(docs.where(known).dropDuplicates())
     rows = with_rows(docs)
-    links = jaccard_join.joined(rows, "row").where(F.col("doc_id") != F.col("component_id"))
-    gone = durable(links.select(F.col("doc_id").alias("row")))
+    with small_batches(spark):
+        links = jaccard_join.joined(rows, "row").where(F.col("doc_id") != F.col("component_id"))
+        gone = durable(links.select(F.col("doc_id").alias("row")))
     return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose what an earlier document, or an earlier part of the same one, already holds."""
     rows = with_rows(docs)
-    kept = durable(suffix_dedup.deduplicated(rows, "row", with_text=True))
+    with small_batches(spark):
+        kept = durable(suffix_dedup.deduplicated(rows, "row", with_text=True))
     joined = rows.select("doc", "row").join(kept.select(F.col("doc_id").alias("row"), "kept_text"), "row", "left")
     text = F.coalesce("kept_text", "doc.text")
     columns = {"text": text}
