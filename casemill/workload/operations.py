@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -10,6 +11,8 @@ from casemill.functions.severity import alert_level
 from casemill.operators import access, approvals, audit, capacity, directory, requests
 from casemill.operators.access import EMAIL_SHAPE, ROLES
 from casemill.operators.requests import NEVER_CHANGE, STATES
+from casemill.session import durable_dir
+from casemill.sources import snapshots
 from casemill.workload.registry import query, rnd
 from casemill.workload.tables import table
 
@@ -820,4 +823,19 @@ def append_only_violations(spark, sf):
     return audit.append_only_violations(old, changed)
 
 
+@query(
+    "ops24_snapshot_violations",
+    f"""WITH {AUDIT} SELECT * FROM audit WHERE event_id % 1000 = 7 OR (action = 'error' AND event_id < 1000)""",
+)
+def snapshot_violations(spark, sf):
+    old = _audit(spark, sf)
+    lost = old.where("event_id % 1000 <> 7")
+    broken = (F.col("action") == "error") & (F.col("event_id") < 1000)
+    changed = lost.withColumn("result", F.when(broken, F.lit("success")).otherwise(F.col("result")))
+    root = f"{durable_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    for name, rows in (("old", old), ("new", changed)):
+        snapshots.write_snapshot(rows, f"{root}/{name}", range_bits=10)
+    return snapshots.snapshot_violations(spark, f"{root}/old", f"{root}/new")
+
+
 assert set(NEVER_CHANGE) <= set(ROLES)
