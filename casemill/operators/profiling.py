@@ -135,8 +135,13 @@ def _native_kind(data_type: T.DataType) -> str | None:
 _KINDS = ("boolean", "numeric", "datetime", "string")
 
 
-def infer_types(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """Semantic type per column: the kind held by at least 80 % of the non-blank values, else mixed."""
+def infer_types(
+    df: DataFrame, values: DataFrame | None = None, categorical_limit: int = CATEGORICAL_LIMIT
+) -> DataFrame:
+    """Semantic type per column: the kind held by at least 80 % of the non-blank values, else mixed.
+
+    Text with fewer than ``categorical_limit`` distinct values is categorical.
+    """
     values = column_values(df) if values is None else values
     known = F.lit(None).cast("string")
     for kind in ("numeric", "datetime", "boolean"):
@@ -165,7 +170,7 @@ def infer_types(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
     inferred = (
         F.when(F.col("_all") == 0, F.lit("unknown"))
         .when(lead.isNull(), F.lit("mixed"))
-        .when((lead == "string") & (F.col("distinct_count") < CATEGORICAL_LIMIT), F.lit("categorical"))
+        .when((lead == "string") & (F.col("distinct_count") < categorical_limit), F.lit("categorical"))
         .when(lead == "string", F.lit("text"))
         .otherwise(lead)
     )
@@ -201,8 +206,8 @@ def date_format_of(bare: Column) -> Column:
     return found
 
 
-def validate_dates(df: DataFrame, column: str) -> DataFrame:
-    """One row: how many values of a column are dates, in which formats, and up to ten that are not."""
+def validate_dates(df: DataFrame, column: str, samples: int = SAMPLE_SIZE) -> DataFrame:
+    """One row: how many values of a column are dates, in which formats, and the first ``samples`` that are not."""
     native = isinstance(df.schema[column].dataType, _TEMPORAL)
     values = column_values(df, [column]).where(F.col("value").isNotNull())
     found = F.lit(NATIVE_DATES) if native else date_format_of(F.col("_bare"))
@@ -218,9 +223,9 @@ def validate_dates(df: DataFrame, column: str) -> DataFrame:
         # At most one entry per known format.
         F.sort_array(F.collect_set("fmt")).alias("recognized_formats"),
     )
-    samples = dated.where(bad).select("value").orderBy("value").limit(SAMPLE_SIZE)
-    listed = samples.agg(F.sort_array(F.collect_list("value")).alias("sample_invalid_values"))
-    return summary.crossJoin(F.broadcast(listed)).select(  # one row of at most ten values
+    shown = dated.where(bad).select("value").orderBy("value").limit(samples)
+    listed = shown.agg(F.sort_array(F.collect_list("value")).alias("sample_invalid_values"))
+    return summary.crossJoin(F.broadcast(listed)).select(  # one row of at most ``samples`` values
         F.lit(column).alias("column_name"), *summary.columns, "sample_invalid_values"
     )
 
@@ -404,16 +409,17 @@ def dataset_metrics(
 
 
 def profile_columns(
-    df: DataFrame, values: DataFrame | None = None, types: DataFrame | None = None
+    df: DataFrame, values: DataFrame | None = None, types: DataFrame | None = None, categorical_limit: int = CATEGORICAL_LIMIT
 ) -> DataFrame:
     """One row per column: semantic type, nulls, distinct values, outliers, bad dates, null severity.
 
     Outliers are counted for numeric columns, bad dates for datetime columns, and similar names for
-    categorical columns (only groups of at least five names are listed). ``values`` and ``types``, if
+    categorical columns (only groups of at least five names are listed; ``categorical_limit`` tells up to how many
+    distinct values a column is one, where ``types`` are not given). ``values`` and ``types``, if
     given, are read several times and should be stored results.
     """
     values = durable(column_values(df)) if values is None else values
-    types = durable(infer_types(df, values)) if types is None else types
+    types = durable(infer_types(df, values, categorical_limit)) if types is None else types
     kinds = {r["column_name"]: r["inferred_type"] for r in types.select("column_name", "inferred_type").collect()}
     present = F.col("value").isNotNull()
     nulls = values.groupBy("column_name").agg(
@@ -435,7 +441,7 @@ def profile_columns(
     groups = (
         _similar_names(names.select(F.col("column_name").alias("g"), "value"), SIMILARITY)
         .groupBy(F.col("g").alias("column_name"), "component")
-        .agg(F.sort_array(F.collect_list("value")).alias("names"))  # fewer than 50 names per column
+        .agg(F.sort_array(F.collect_list("value")).alias("names"))  # fewer names than the limit of a categorical column
         .where(F.size("names") >= MIN_GROUP)
         .groupBy("column_name")
         .agg(F.to_json(F.sort_array(F.collect_list("names"))).alias("similar_groups"))

@@ -16,14 +16,12 @@ AUDIT_REQUIRED = ("user_id", "action", "resource", "result")
 def write_curated(df: DataFrame, path: str, by_month: bool = True) -> None:
     """Snappy Parquet, in one folder per opening month so that date filters prune folders.
 
-    Rows are spread over tasks by month and a salt taken from the row, so a month with most of the
-    rows is written by many tasks.
+    Rows are shuffled by month; AQE splits a month with most of the rows over many tasks and merges small ones, by
+    the bytes that it finds.
     """
     out, writer = df, None
     if by_month:
-        out = df.withColumn("opened_month", F.date_format("opened_on", "yyyy-MM")).repartition(
-            "opened_month", F.pmod(F.xxhash64(*df.columns), F.lit(32))
-        )
+        out = df.withColumn("opened_month", F.date_format("opened_on", "yyyy-MM")).hint("rebalance", "opened_month")
         writer = out.write.partitionBy("opened_month")
     (writer or out.write).mode("overwrite").option("compression", "snappy").parquet(path)
 

@@ -409,3 +409,14 @@ def test_split_is_exact_and_repeatable(spark):
     assert abs(first[("hot", 0, True)] - 1000) <= 1
 
 
+
+
+def test_limits_of_the_profile_are_parameters(spark):
+    from casemill.operators import profiling
+
+    names = spark.createDataFrame([(f"company number {chr(97 + i % 26)}{i}",) for i in range(60)], "company string")
+    kind = lambda **k: profiling.infer_types(names, **k).first()["inferred_type"]
+    assert (kind(), kind(categorical_limit=61), kind(categorical_limit=60)) == ("text", "categorical", "text")
+    assert profiling.profile_columns(names).first()["similar_groups"] == "[]"
+    assert "company number" in profiling.profile_columns(names, categorical_limit=61).first()["similar_groups"]
+    assert len(profiling.validate_dates(names, "company", samples=12).first()["sample_invalid_values"]) == 12

@@ -83,3 +83,16 @@ def test_large_rule_tables_are_not_broadcast(spark):
 
     assert "broadcast" in small(spark.range(5), rows=5)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in small(spark.range(6), rows=5)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in small(spark.range(5), size=20)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_curated_months_are_balanced_by_their_bytes(spark, folder):
+    from casemill.sources.sinks import write_curated
+
+    rows = spark.range(0, 5_000, 1, 8).select("id", F.expr("date_add(date'2024-01-01', if(id % 10 < 9, 0, cast(id % 300 as int)))").alias("opened_on"))
+    write_curated(rows, folder("curated"))
+    back = spark.read.parquet(folder("curated"))
+    assert back.select("id", "opened_on").exceptAll(rows).isEmpty() and back.count() == 5_000
+    assert back.where("opened_month <> date_format(opened_on, 'yyyy-MM')").isEmpty()
+    # One task a month here, where months are small: no file for each of many salts.
+    assert len(back.inputFiles()) == back.select("opened_month").distinct().count()
