@@ -9,17 +9,18 @@ rows would.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casemill.functions.numbers import round_to
 from casemill.functions.quantiles import with_ranks
-from casemill.session import durable
+from casemill.session import durable, release
 
 # Features known at opening, fields that leak the outcome, and model settings.
 FEATURES = ("cause", "channel", "company", "case_type", "owner_unit", "marking")
@@ -98,7 +99,11 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
 
 def feature_tuples(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """(features…, label, is_test, n): labelled, folded and split; written once to the shared folder."""
-    return durable(stratified_split(fold(prepare_features(label_p90(df), features), features)))
+    # The split reads the folded rows twice.
+    folded = durable(fold(prepare_features(label_p90(df), features), features))
+    tuples = durable(stratified_split(folded))
+    release(folded)
+    return tuples
 
 
 def fold(prepared: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -123,6 +128,137 @@ def level_names(model: PipelineModel, features: Sequence[str] = FEATURES) -> lis
     return [f"{c}_{level}" for c, levels in zip(features, model.stages[0].labelsArray) for level in levels]
 
 
+@dataclass
+class _Node:
+    """A node of a :class:`LevelTree`: weight per class, and the level that is split off if it is no leaf."""
+
+    weights: tuple[float, float]
+    gain: float = 0.0
+    feature: str = ""
+    level: int = 0
+    place: int = 0
+    children: tuple[_Node, ...] = field(default=())
+
+    @property
+    def prediction(self) -> int:
+        return int(self.weights[1] > self.weights[0])
+
+    @property
+    def score(self) -> float:
+        return self.weights[1] / sum(self.weights)
+
+    def pruned(self) -> _Node:
+        """The node without splits whose two leaves predict the same."""
+        if not self.children:
+            return self
+        absent, present = (c.pruned() for c in self.children)
+        if not absent.children and not present.children and absent.prediction == present.prediction:
+            return _Node(self.weights)
+        return _Node(self.weights, self.gain, self.feature, self.level, self.place, (absent, present))
+
+    def choose(self, leaf) -> Column:
+        """The value of ``leaf`` for the leaf that a row belongs to."""
+        if not self.children:
+            return F.lit(leaf(self))
+        absent, present = (c.choose(leaf) for c in self.children)
+        return F.when(F.col(f"{self.feature}_index") == self.level, present).otherwise(absent)
+
+
+@dataclass(frozen=True)
+class LevelTree:
+    """A classification tree whose splits each separate one level of a feature from the others."""
+
+    root: _Node
+    size: int
+
+    @property
+    def featureImportances(self) -> DenseVector:  # noqa: N802  named as in Spark's models
+        """Share of the impurity removed by each level, in vector order."""
+        found, waiting = [0.0] * self.size, [self.root]
+        for node in waiting:  # grows while it is read
+            if node.children:
+                found[node.place] += node.gain * sum(node.weights)
+                waiting.extend(node.children)
+        total = sum(found)
+        return DenseVector([v / total for v in found] if total else found)
+
+
+def _gini(negative: Column, positive: Column) -> Column:
+    total = negative + positive
+    return 1.0 - (negative / total) * (negative / total) - (positive / total) * (positive / total)
+
+
+def _best_splits(rows: DataFrame, features: Sequence[str], offsets: Sequence[int]) -> DataFrame:
+    """One row per ``_node`` of weighted tuples: the level whose separation removes most Gini impurity, the first in
+    vector order of equals.
+
+    A level is one (node, feature, level) group of two sums, whatever the number of rows and levels.
+    """
+    levels = F.array(
+        *[F.struct(F.lit(i).alias("_f"), F.col(f"{c}_index").alias("_level")) for i, c in enumerate(features)]
+    )
+    sums = [F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(F.lit(0.0))).alias(f"_in{k}") for k in (0, 1)]
+    sums.append(F.count(F.lit(1)).alias("_rows"))
+    present = rows.select("_node", "label", "weight", F.inline(levels)).groupBy("_node", "_f", "_level").agg(*sums)
+    # Every row has one level of the first feature: its levels add up to the node.
+    wholes = present.where(F.col("_f") == 0).groupBy("_node").agg(
+        F.sum("_in0").alias("_all0"), F.sum("_in1").alias("_all1"), F.sum("_rows").alias("_all_rows")
+    )
+    in0, in1, all0, all1 = (F.col(c) for c in ("_in0", "_in1", "_all0", "_all1"))
+    inside, total = in0 + in1, all0 + all1
+    share = inside / total
+    split = F.col("_rows") < F.col("_all_rows")
+    gain = _gini(all0, all1) - (1.0 - share) * _gini(all0 - in0, all1 - in1) - share * _gini(in0, in1)
+    start = F.element_at(F.array(*map(F.lit, offsets)), F.col("_f") + 1)
+    place = (start + F.col("_level")).cast("int")
+    # Equal gains differ by rounding: they are compared to fourteen places.
+    best = F.max_by(F.struct("_f", "_level", place.alias("place"), "_gain", "_in0", "_in1"), F.struct(F.round("_gain", 14), -place))
+    return (
+        present.join(F.broadcast(wholes), "_node")  # one row per node
+        .withColumn("_gain", F.when(split, gain).otherwise(F.lit(-1.0)))
+        .groupBy("_node", "_all0", "_all1")
+        .agg(best.alias("_best"))
+        .select("_node", "_all0", "_all1", "_best.*")
+    )
+
+
+def fit_level_tree(weighted: DataFrame, features: Sequence[str], sizes: Sequence[int], depth: int = TREE_DEPTH) -> LevelTree:
+    """Grow a tree over (``<feature>_index``…, label, weight) by Gini impurity, as a tree over the one-hot vectors.
+
+    All levels compete in every node. A round is one aggregation by (node, feature, level), so a row costs its
+    features and not the levels of all features; at most ``2 ** depth`` rows come to the driver.
+    """
+    offsets = [sum(sizes[:i]) for i in range(len(sizes))]
+    root = _Node((0.0, 0.0))
+    open_nodes = [root]
+    for _ in range(depth):
+        numbers = {id(node): i for i, node in enumerate(open_nodes)}
+        placed = weighted.withColumn("_node", root.choose(lambda leaf: numbers.get(id(leaf), -1)))
+        grown = []
+        for r in _best_splits(placed.where(F.col("_node") >= 0), features, offsets).collect():
+            node = open_nodes[r["_node"]]
+            if node is root:
+                node.weights = (r["_all0"], r["_all1"])
+            if r["_gain"] > 1e-15:
+                node.gain, node.feature, node.level, node.place = r["_gain"], features[r["_f"]], r["_level"], r["place"]
+                inside = (r["_in0"], r["_in1"])
+                node.children = tuple(_Node(w) for w in ((r["_all0"] - inside[0], r["_all1"] - inside[1]), inside))
+                grown.extend(c for c in node.children if min(c.weights) > sum(c.weights) * 1e-12)
+        open_nodes = grown
+        if not open_nodes:
+            break
+    return LevelTree(root.pruned(), sum(sizes))
+
+
+def _score_tree(tree: LevelTree, rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "label",
+        tree.root.choose(lambda leaf: leaf.prediction).alias("prediction"),
+        tree.root.choose(lambda leaf: leaf.score).alias("score"),
+        "n",
+    )
+
+
 @dataclass(frozen=True)
 class RiskModel:
     """A trained model with what is needed to explain it."""
@@ -202,7 +338,8 @@ def train_risk(df: DataFrame, features: Sequence[str] = FEATURES) -> RiskModel:
     """Logistic regression with unit regularisation; a shallow tree instead if its ranking is poor."""
     tuples = feature_tuples(df, features)
     encode = encoder(features).fit(tuples)
-    vectors = durable(encode.transform(tuples).select("features", "label", "is_test", "n"))
+    levels = [F.col(f"{c}_index").cast("int").alias(f"{c}_index") for c in features]
+    vectors = durable(encode.transform(tuples).select("features", "label", "is_test", "n", *levels))
     train, test = vectors.where(~F.col("is_test")), vectors.where(F.col("is_test"))
     weighted, total, imbalanced = _weighted(train)
     logistic = LogisticRegression(
@@ -224,10 +361,8 @@ def train_risk(df: DataFrame, features: Sequence[str] = FEATURES) -> RiskModel:
         limitations.append(f"logistic regression stopped at its limit of {MAX_ITERATIONS} iterations")
     if metrics["roc_auc"] < MIN_AUC:
         limitations.append(f"logistic regression reaches a ROC-AUC of {metrics['roc_auc']}; tried a decision tree")
-        tree = DecisionTreeClassifier(
-            featuresCol="features", labelCol="label", weightCol="weight", maxDepth=TREE_DEPTH, seed=SEED
-        ).fit(weighted)
-        tree_scored = _score(tree, test)
+        tree = fit_level_tree(weighted, features, [len(levels) for levels in encode.stages[0].labelsArray])
+        tree_scored = _score_tree(tree, test)
         tree_metrics = evaluate(tree_scored).first().asDict()
         if tree_metrics["roc_auc"] >= metrics["roc_auc"]:
             kind, chosen, scored, metrics = "decision_tree", tree, tree_scored, tree_metrics
