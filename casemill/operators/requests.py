@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -121,6 +123,67 @@ def request_rules():
     return start, step
 
 
+REFUSALS = ((403, "unknown_role"), (400, "justification_too_short"), (403, "role_never_changes_state"))
+OUTCOMES = (
+    (200, "ok"), *REFUSALS, (409, "concurrent_change"), (409, "terminal_state"), (409, "undefined_transition"),
+    (403, "role_not_authorized"),
+)
+
+
+def request_runs():
+    """(read, judge): the same rules for many attempts on one request at a time.
+
+    ``read`` makes numbers of the texts of a batch: (what an attempt asks for, the version it expects or NaN). What it
+    asks for is a refusal that no state changes (1 to 3), or 4 and above for a pair of target and role. ``judge`` goes
+    through attempts in order from (state, version) and gives their numbers in ``OUTCOMES``, and the rows and
+    values of the changes: a request changes at most a few times, and all attempts between two changes meet the same
+    state, so each stretch is judged at once.
+    """
+    targets = {state: i for i, state in enumerate(STATES)}
+    roles = {role: i for i, role in enumerate(ROLES)}
+    never = np.array([role in NEVER_CHANGE for role in ROLES] + [False])
+    width = len(ROLES) + 1
+    place = {name: i for i, (_, name) in enumerate(OUTCOMES)}
+    tables = {}
+    for state in STATES:
+        table = np.full((len(STATES) + 1) * width, place["terminal_state" if state in TERMINAL else "undefined_transition"])
+        for (source, target), granted in TRANSITIONS.items():
+            if source == state and state not in TERMINAL:
+                for role in range(width):
+                    ok = role < len(ROLES) and ROLES[role] in granted
+                    table[targets[target] * width + role] = place["ok" if ok else "role_not_authorized"]
+        tables[state] = np.concatenate([np.arange(4), table]).astype(np.int8)
+
+    def read(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        role = np.fromiter((roles.get(r, len(ROLES)) for r in rows["role"]), np.int16, len(rows))
+        target = np.fromiter((targets.get(t, len(STATES)) for t in rows["target_state"]), np.int16, len(rows))
+        short = np.fromiter((j is None or len(j.strip()) < MIN_JUSTIFICATION for j in rows["justification"]), bool, len(rows))
+        asked = 4 + target * np.int16(width) + role
+        refused = [role == len(ROLES), short, never[role]]
+        asked = np.select(refused, [1, 2, 3], asked).astype(np.int16)
+        return asked, np.trunc(rows["expected_version"].to_numpy(dtype="float64", na_value=np.nan))
+
+    def judge(state: str, version: int, asked: np.ndarray, expected: np.ndarray):
+        outcome, changes, start = np.empty(len(asked), np.int8), [], 0
+        stale_free = np.isnan(expected)
+        while start < len(asked):
+            met = tables[state][asked[start:]]
+            stale = (asked[start:] > 3) & ~stale_free[start:] & (expected[start:] != version)
+            met[stale] = place["concurrent_change"]
+            accepted = np.flatnonzero(met == 0)
+            if not len(accepted):
+                outcome[start:] = met
+                break
+            at = start + int(accepted[0])
+            outcome[start : at + 1] = met[: at + 1 - start]
+            state, version = STATES[(int(asked[at]) - 4) // width], version + 1
+            changes.append((at, state, version))
+            start = at + 1
+        return outcome, changes
+
+    return read, judge
+
+
 def _situations() -> list[tuple[str, int]]:
     """All (state, version) pairs a request can be in, the initial one first."""
     found = [(INITIAL, 1)]

@@ -7,6 +7,7 @@ import sys
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from casemill.operators.directory import MAX_PER_MINUTE, WINDOW_SECONDS
-from casemill.operators.requests import request_rules
+from casemill.operators.requests import INITIAL, OUTCOMES, request_runs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,6 +40,7 @@ REQUEST_OUTPUT = StructType(
         StructField("version", LongType()),
     ]
 )
+OUTPUT_ROWS = 100_000
 _REQUEST_STATE = StructType([StructField("state", StringType()), StructField("version", LongType())])
 
 
@@ -99,19 +101,36 @@ def throttle_stream(
 
 
 def request_state_stream(attempts: DataFrame) -> DataFrame:
-    """Apply transition attempts per request as they arrive; the state is (current state, version)."""
-    start, step = request_rules()
+    """Apply transition attempts per request as they arrive; the state is (current state, version).
+
+    Of a request's attempts in a micro-batch a task holds a few numbers each, not their texts, and results leave in
+    parts of ``OUTPUT_ROWS``.
+    """
+    read, judge = request_runs()
+    codes, reasons = (np.array(list(x), dtype=kind) for x, kind in zip(zip(*OUTCOMES), ("int64", object)))
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = start()
-        if state.exists:
-            now["state"], now["version"] = state.get
-        rows = pd.concat(list(batches)).sort_values(["attempted_at", "attempt_id"])
-        results = [(int(r.attempt_id), *step(now, r)) for r in rows.itertuples(index=False)]
-        state.update((now["state"], now["version"]))
-        out = pd.DataFrame(results, columns=["attempt_id", "code", "reason", "state", "version"])
-        out.insert(0, "request_id", key[0])
-        yield out
+        now, version = state.get if state.exists else (INITIAL, 1)
+        parts = [(rows[["attempted_at", "attempt_id"]], *read(rows)) for rows in batches]
+        places, asked, expected = (list(x) for x in zip(*parts))
+        placed = pd.concat(places, ignore_index=True).sort_values(["attempted_at", "attempt_id"])
+        order = placed.index.to_numpy()
+        outcome, changes = judge(now, version, np.concatenate(asked)[order], np.concatenate(expected)[order])
+        states, versions = [now, *(c[1] for c in changes)], [version, *(c[2] for c in changes)]
+        state.update((states[-1], versions[-1]))
+        # After the change itself the new state holds.
+        met = np.zeros(len(order), np.int8)
+        for at, _, _ in changes:
+            met[at:] += 1
+        ids, states, versions = placed["attempt_id"].to_numpy(), np.array(states, dtype=object), np.array(versions)
+        for begin in range(0, len(order), OUTPUT_ROWS):
+            part = slice(begin, begin + OUTPUT_ROWS)
+            yield pd.DataFrame(
+                {
+                    "request_id": key[0], "attempt_id": ids[part], "code": codes[outcome[part]], "reason": reasons[outcome[part]],
+                    "state": states[met[part]], "version": versions[met[part]],
+                }
+            )
 
     return attempts.groupBy("request_id").applyInPandasWithState(
         run, REQUEST_OUTPUT, _REQUEST_STATE, "append", GroupStateTimeout.NoTimeout
