@@ -79,7 +79,11 @@ def validate_contract(
     df: DataFrame, min_date: str = EARLIEST_OPENING, enforce_unique: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows with rule id and reason)."""
-    checked = check_contract(df, min_date, enforce_unique)
+    return split_contract(check_contract(df, min_date, enforce_unique))
+
+
+def split_contract(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, quarantined rows with rule id and reason) of a result of :func:`check_contract`."""
     valid = checked.where(F.col("failures") == "").drop("failures")
     reason = F.col("failures")
     bad = checked.where(F.col("failures") != "").select(
@@ -211,5 +215,6 @@ __all__ = [
     "migration_report",
     "migration_valid",
     "reconcile",
+    "split_contract",
     "validate_contract",
 ]

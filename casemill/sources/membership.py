@@ -14,12 +14,13 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType, IntegralType, StructType
 
 INDEX = "_membership"
 BITS_PER_KEY = 16
 BITS_SET = 6
-_SCHEMA = "file string, words long, word long, bits long"
+# ``lo`` and ``hi`` are the bounds of the first key, if it is a whole number, in the row of a file that has no bits.
+_SCHEMA = "file string, words long, word long, bits long, lo long, hi long"
 _MISSING = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
@@ -44,7 +45,7 @@ def _mask(key: list[Column]) -> Column:
 
 def _named(file: Column) -> Column:
     """A file by the part of its path that its folder does not change."""
-    return F.regexp_extract(file, r"([^/]+)$", 1)
+    return F.substring_index(file, "/", -1)
 
 
 def stored_files(spark: SparkSession, path: str) -> list[str]:
@@ -66,20 +67,57 @@ def index_files(spark: SparkSession, path: str, schema: StructType, keys: Sequen
 
     All files of a call get filters of one size, a power of two of words, from the largest number of their rows.
     """
-    known = {r["file"] for r in _index(spark, path).select("file").distinct().collect()}  # one row per file
+    known = _indexed(_index(spark, path))
     new = [f for f in stored_files(spark, path) if f.rsplit("/", 1)[-1] not in known]
     if not new:
         return
     rows = _read(spark, path, schema, new)
     of_file = rows.select(_named(F.input_file_name()).alias("file"), *keys)
-    most = of_file.groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    whole = F.col(keys[0]).cast("long") if _ranged(schema, keys) else F.lit(None).cast("long")
+    facts = of_file.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min(whole).alias("lo"), F.max(whole).alias("hi"))
+    found = {r["file"]: r for r in facts.collect()}  # one row per file
+    most = max((r["n"] for r in found.values()), default=0)
     words = 1 << max(0, -(-most * bits_per_key // 64) - 1).bit_length()
     key = _key(rows, keys)
     marked = of_file.select("file", F.lit(words).cast("long").alias("words"), _word(key, F.lit(words)).alias("word"), _mask(key).alias("bits"))
-    filters = marked.groupBy("file", "words", "word").agg(F.bit_or("bits").alias("bits"))
+    unknown = F.lit(None).cast("long")
+    filters = marked.groupBy("file", "words", "word").agg(F.bit_or("bits").alias("bits")).select("*", unknown.alias("lo"), unknown.alias("hi"))
     # A file without rows holds nothing: a word without bits tells so.
-    empty = spark.createDataFrame([(f.rsplit("/", 1)[-1], 1, 0, 0) for f in new], _SCHEMA)
-    filters.union(empty).repartition(max(1, len(new) // 16), "file").write.mode("append").parquet(f"{path}/{INDEX}")
+    names = [f.rsplit("/", 1)[-1] for f in new]
+    empty = spark.createDataFrame([(f, 1, 0, 0, *((found[f]["lo"], found[f]["hi"]) if f in found else (None, None))) for f in names], _SCHEMA)
+    # Sorted, so that readers of the rows without bits or of some files skip the others.
+    stored = filters.union(empty).repartition(max(1, len(new) // 16), "file").sortWithinPartitions("words", "file")
+    stored.write.mode("append").parquet(f"{path}/{INDEX}")
+
+
+def _ranged(schema: StructType, keys: Sequence[str]) -> bool:
+    return isinstance(schema[keys[0]].dataType, IntegralType)
+
+
+def _indexed(index: DataFrame) -> dict[str, tuple[int | None, int | None]]:
+    """The files that have a filter, with the bounds of their first key: one row per file."""
+    rows = index.where("words = 1 AND bits = 0").select("file", "lo", "hi").distinct().collect()
+    return {r["file"]: (r["lo"], r["hi"]) for r in rows}
+
+
+def overlapping_files(wanted: DataFrame, path: str, schema: StructType, keys: Sequence[str], files: Sequence[str]) -> list[str]:
+    """Those of the table's ``files`` whose bounds meet those of the ``wanted`` keys, or that have none.
+
+    Where ids grow with time, no later work is done for the files of earlier loads.
+    """
+    if not files or not _ranged(schema, keys):
+        return list(files)
+    bounds = _indexed(_index(wanted.sparkSession, path))
+    key = F.col(keys[0]).cast("long")
+    low, high = wanted.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return list(files)
+    near = []
+    for f in files:
+        lo, hi = bounds.get(f.rsplit("/", 1)[-1], (None, None))
+        if lo is None or (lo <= high and low <= hi):
+            near.append(f)
+    return near
 
 
 def _index(spark: SparkSession, path: str) -> DataFrame:
@@ -98,9 +136,10 @@ def candidate_files(wanted: DataFrame, path: str, schema: StructType, keys: Sequ
     if not files:
         return []
     index = _index(spark, path)
+    known = _indexed(index)
+    index = index.where(F.col("file").isin([f.rsplit("/", 1)[-1] for f in files]))
     sizes = index.select("words").distinct()
     # Few sizes: powers of two.
-    known = {r["file"] for r in index.select("file").distinct().collect()}
     asked = wanted.select(*[F.col(k).cast(schema[k].dataType).alias(k) for k in keys])
     key = _key(asked, keys)
     probes = asked.crossJoin(F.broadcast(sizes)).select(

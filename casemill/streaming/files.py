@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from casemill.operators.contract import RULE_ID, validate_contract
+from casemill.operators.contract import RULE_ID, check_contract, split_contract
 from casemill.schema import EARLIEST_OPENING
 from casemill.sources import membership
 from casemill.sources.readers import normalize_cases
@@ -21,6 +21,7 @@ def _earlier_ids(valid: DataFrame, curated: str, number: int) -> DataFrame | Non
     spark = valid.sparkSession
     batch_of = re.compile(r"/batch=(\d+)/")
     files = [f for f in membership.stored_files(spark, curated) if int(batch_of.search(f).group(1)) < number]
+    files = membership.overlapping_files(valid, curated, valid.schema, ["case_id"], files)
     return membership.holding(valid, curated, valid.schema, ["case_id"], files) if files else None
 
 
@@ -46,9 +47,9 @@ def ingest_files(
 
     def load(batch: DataFrame, number: int) -> None:
         stamped = F.current_timestamp()
-        # Both outputs come from one check of the batch.
-        batch = batch.persist()
-        valid, bad = validate_contract(normalize_cases(batch), min_date, enforce_unique)
+        # Both outputs and the search for earlier ids read one check of the batch.
+        checked = check_contract(normalize_cases(batch), min_date, enforce_unique).persist()
+        valid, bad = split_contract(checked)
         present = _earlier_ids(valid, curated, number) if enforce_unique else None
         if present is not None:
             again = valid.join(present, "case_id", "left_semi").select(
@@ -61,7 +62,7 @@ def ingest_files(
         quarantine_rows(bad, stamped, RULE_ID, F.col("reason")).write.mode("overwrite").parquet(
             f"{quarantine}/batch={number}"
         )
-        batch.unpersist()
+        checked.unpersist()
 
     stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", str(max_files)).load(source)
     return (

@@ -62,3 +62,41 @@ def test_null_keys_and_several_columns(spark, folder):
     sinks.insert_missing(spark, folder("t"), df.limit(1), ["k", "s"])
     sinks.insert_missing(spark, folder("t"), df, ["k", "s"])
     assert sorted(r.v for r in spark.read.parquet(folder("t")).collect()) == [0, 1, 2, 3]
+
+
+def test_files_whose_bounds_lie_elsewhere_are_left_out(spark, folder):
+    schema = table_of(spark, folder("t"), [range(0, 100), range(100, 200), range(150, 300)])
+    # Written past the index: it has no bounds and stays.
+    spark.createDataFrame([(5, "other")], SCHEMA).coalesce(1).write.mode("append").parquet(folder("t"))
+    files = membership.stored_files(spark, folder("t"))
+
+    def near(*wanted):
+        keys = spark.createDataFrame([(k, "x") for k in wanted], SCHEMA)
+        return len(membership.overlapping_files(keys, folder("t"), schema, ["k"], files))
+
+    assert [near(1000, 2000), near(99), near(99, 160), near(170), near(None)] == [1, 2, 4, 2, 4]
+    double = spark.createDataFrame([(1.0,)], "k double")
+    assert len(membership.overlapping_files(double, folder("t"), double.schema, ["k"], files)) == 4
+
+
+def test_growing_ids_are_not_searched_in_the_files_of_earlier_batches(spark, folder, monkeypatch):
+    from casemill.streaming import files
+
+    searched, search = [], membership.candidate_files
+    monkeypatch.setattr(membership, "candidate_files", lambda w, p, s, k, f=None: searched.append(len(f)) or search(w, p, s, k, f))
+
+    def load(ids):
+        rows = spark.createDataFrame([(i,) for i in ids], "case_id long").selectExpr(
+            "case_id", "date'2000-01-01' opened_on", "'abierto' status", "'a' cause", "'b' channel", "'c' company", "'queja' case_type",
+            "1d handling_days",
+        )
+        rows.coalesce(1).write.mode("append").json(folder("in"))
+        files.ingest_files(
+            spark, folder("in"), rows.schema, folder("curated"), folder("bad"), folder("check"), min_date="1900-01-01"
+        ).awaitTermination()
+        return spark.read.parquet(folder("curated")).count(), spark.read.parquet(folder("bad")).count()
+
+    for n in range(3):
+        held = load(range(n * 50, n * 50 + 50))
+    assert held == (150, 0) and not searched
+    assert load([149, 500]) == (151, 1) and searched == [1]
