@@ -24,6 +24,11 @@ def to_double(text: Column) -> Column:
     return F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
 
 
+def finite(value: Column) -> Column:
+    """A double as it is, null where it is no finite number; what :func:`to_double` gives of its text."""
+    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+
+
 def coerce_number(value: Column) -> Column:
     """Finite number or zero."""
     number = value.try_cast("double")

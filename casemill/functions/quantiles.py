@@ -10,6 +10,7 @@ place of a value is the count of the ranges before its own plus the running coun
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,6 +25,15 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 def with_ranks(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add to (by…, v, n) the rows placed before each value and the group total: ``before``, ``total``.
 
+    A value may come in several pairs, which then share its places.
+    """
+    dealt, places = _dealt(counts, by)
+    return _placed(dealt, places).select(*counts.columns, "before", "total")
+
+
+def _dealt(counts: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The pairs dealt by ranges, and (_k, _range, _rn, _before, _total): rows of a range, before it and of its group.
+
     The dealt pairs are stored with the number of their range, so that both passes see the same ranges.
     """
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -34,20 +44,37 @@ def with_ranks(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     places = (
         dealt.groupBy("_k", "_range").agg(F.sum("n").alias("_rn"))
-        .select("_k", "_range", F.coalesce(F.sum("_rn").over(earlier), F.lit(0)).alias("_before"), F.sum("_rn").over(group).alias("_total"))
+        .select("_k", "_range", "_rn", F.coalesce(F.sum("_rn").over(earlier), F.lit(0)).alias("_before"), F.sum("_rn").over(group).alias("_total"))
     )
+    return dealt, places
+
+
+def _placed(dealt: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs of the ranges that ``places`` holds, with the rows before each and the group total."""
     inside = Window.partitionBy("_k", "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        dealt.withColumn("_inside", F.sum("n").over(inside) - F.col("n"))
-        .join(places, ["_k", "_range"])
-        .select(*counts.columns, (F.col("_before") + F.col("_inside")).alias("before"), F.col("_total").alias("total"))
+    return dealt.join(places, ["_k", "_range"]).select(
+        *[c for c in dealt.columns if c != "_range"],
+        (F.col("_before") + F.sum("n").over(inside) - F.col("n")).alias("before"),
+        F.col("_total").alias("total"),
     )
 
 
-def quantiles_of_counts(counts: DataFrame, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolated quantiles per group of a (by…, v, n) table, one column per entry of ``probs``."""
-    key = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
-    ranked = with_ranks(counts, by).select("v", "before", "total", (F.col("before") + F.col("n")).alias("upto"), key.alias("_k"))
+def quantiles_of_counts(
+    counts: DataFrame, probs: dict[str, float], by: Sequence[str] = (), few_groups: bool = False
+) -> DataFrame:
+    """Linear-interpolated quantiles per group of a (by…, v, n) table, one column per entry of ``probs``.
+
+    Only ranges that hold a quantile are put in order: at most two for an entry and group. With ``few_groups`` they
+    are broadcast, so the other pairs are not moved again.
+    """
+    dealt, places = _dealt(counts, by)
+    at = lambda p: (F.col("_total") - 1) * F.lit(float(p))
+    ends = [side(at(p)) for p in probs.values() for side in (F.floor, F.ceil)]
+    held = [(rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_rn")) for rank in ends]
+    needed = places.where(reduce(lambda a, b: a | b, held))
+    ranked = _placed(dealt, F.broadcast(needed) if few_groups else needed).select(
+        "_k", "v", "before", "total", (F.col("before") + F.col("n")).alias("upto")
+    )
     position = lambda p: (F.col("total") - 1) * F.lit(float(p))
     picks = [F.max("total").alias("total")]
     for name, p in probs.items():

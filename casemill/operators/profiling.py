@@ -56,9 +56,25 @@ _NUMERIC = (T.NumericType,)
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def column_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value, n) over the given columns, values as text, null included."""
+# Types whose values are equal exactly where their texts are.
+_SAME_AS_TEXT = ("tinyint", "smallint", "int", "bigint", "date", "boolean", "string")
+
+
+def column_values(df: DataFrame, columns: Sequence[str] | None = None, stored: bool = False) -> DataFrame:
+    """(column_name, value, n) over the given columns, values as text, null included.
+
+    ``stored`` tells that ``df`` is a stored table: each column is then read alone and counted in its own type, and only
+    distinct values are turned into text.
+    """
     names = list(columns or df.columns)
+    if stored:
+        kinds = dict(df.dtypes)
+        parts = []
+        for c in names:
+            value = F.col(f"`{c}`") if kinds[c] in _SAME_AS_TEXT else F.col(f"`{c}`").cast("string")
+            counted = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(counted.select(F.lit(c).alias("column_name"), F.col("value").cast("string").alias("value"), "n"))
+        return reduce(DataFrame.unionByName, parts)
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in names]
     )
@@ -81,7 +97,11 @@ def null_stats(df: DataFrame) -> DataFrame:
 
 def duplicate_report(df: DataFrame, id_column: str = "case_id") -> DataFrame:
     """One row: rows, distinct non-null ids, rows beyond them. Null ids raise the duplicate count."""
-    per_id = df.groupBy(id_column).agg(F.count(F.lit(1)).alias("n"))
+    return _repeats(df.groupBy(id_column).agg(F.count(F.lit(1)).alias("n")), id_column)
+
+
+def _repeats(per_id: DataFrame, id_column: str) -> DataFrame:
+    """The duplicate report of (id, n)."""
     present = F.col(id_column).isNotNull()
     row = per_id.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
@@ -385,6 +405,11 @@ def dataset_metrics(
     types: DataFrame | None = None,
 ) -> DataFrame:
     """One row: size, filled cells, mean type confidence and duplication rate."""
+    if values is not None and dict(df.dtypes).get(id_column) in _SAME_AS_TEXT:
+        per_id = values.where(F.col("column_name") == id_column).select(F.col("value").alias(id_column), "n")
+        repeats = _repeats(per_id, id_column).select("duplication_rate")
+    else:
+        repeats = duplicate_report(df, id_column).select("duplication_rate")
     values = column_values(df) if values is None else values
     columns = len(df.columns)
     nulls = values.agg(
@@ -392,7 +417,6 @@ def dataset_metrics(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("_nulls"),
     )
     confidence = (infer_types(df, values) if types is None else types).agg(F.avg("confidence").alias("_confidence"))
-    repeats = duplicate_report(df, id_column).select("duplication_rate")
     cells = F.col("total_record_count") * columns
     return (
         nulls.crossJoin(F.broadcast(confidence)).crossJoin(F.broadcast(repeats))  # one row each
@@ -468,20 +492,18 @@ def profile_columns(
 
 def _outliers_of_values(values: DataFrame) -> DataFrame:
     """Outlier rows per column from (column_name, value, n)."""
-    number = F.regexp_replace(strip(F.col("value")), ",", ".").try_cast("double")
-    counts = (
-        values.select("column_name", number.alias("v"), "n")
-        .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy("column_name", "v")
-        .agg(F.sum("n").alias("n"))
-    )
-    fences = quantiles_of_counts(counts, {"q1": 0.25, "q3": 0.75}, ("column_name",))
+    number = F.replace(strip(F.col("value")), F.lit(","), F.lit(".")).try_cast("double")
+    # Stored, since a filter over the expression would read each text several times. Texts of one number stay apart:
+    # neither quantiles nor sums need them together.
+    read = durable(values.select("column_name", number.alias("v"), "n"))
+    counts = read.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    fences = quantiles_of_counts(counts, {"q1": 0.25, "q3": 0.75}, ("column_name",), few_groups=True)
     iqr = F.col("q3") - F.col("q1")
     outside = (iqr != 0) & (
         (F.col("v") < F.col("q1") - IQR_FENCE * iqr) | (F.col("v") > F.col("q3") + IQR_FENCE * iqr)
     )
     return (
-        counts.join(fences, "column_name")
+        counts.join(F.broadcast(fences), "column_name")  # one row per column
         .where(outside)
         .groupBy("column_name")
         .agg(F.sum("n").alias("outlier_count"))

@@ -91,6 +91,9 @@ def _counters(df: DataFrame, as_of: date, min_date: str) -> DataFrame:
     )
 
 
+_MISMATCHES = "array<struct<field:string,unmatched:bigint>>"
+
+
 def _report(
     df: DataFrame,
     as_of: date,
@@ -104,7 +107,7 @@ def _report(
     if with_ids:
         row = row.crossJoin(F.broadcast(duplicate_report(df, id_column)))  # one row each
     if catalogs is None:
-        return row.withColumns({"checked": F.lit(0), "unmatched": F.lit(0), "mismatches": F.array()})
+        return row.withColumns({"checked": F.lit(0), "unmatched": F.lit(0), "mismatches": F.array().cast(_MISMATCHES)})
     found = catalog_mismatches(df, catalogs)
     per_field = F.struct(F.col("field"), F.col("unmatched"))
     summary = found.agg(
@@ -141,16 +144,29 @@ def composite(scores: dict[str, Column]) -> Column:
     return round_to(sum((scores[d] * F.lit(w) for d, w in QUALITY_WEIGHTS.items()), F.lit(0.0)), 2)
 
 
+def quality_counters(
+    df: DataFrame,
+    as_of: date,
+    catalogs: DataFrame | None = None,
+    min_date: str = EARLIEST_OPENING,
+    id_column: str = "case_id",
+) -> DataFrame:
+    """One row with every counter behind :func:`quality_score` and :func:`violations`, for callers that need both."""
+    return _report(df, as_of, catalogs, min_date, id_column)
+
+
 def quality_score(
     df: DataFrame,
     as_of: date,
     catalogs: DataFrame | None = None,
     min_date: str = EARLIEST_OPENING,
     id_column: str = "case_id",
+    counters: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: the six dimensions and the composite."""
+    """One row: the six dimensions and the composite. ``counters`` are those of the same arguments, if at hand."""
     scores = _dimension_columns(df.columns)
-    row = _report(df, as_of, catalogs, min_date, id_column).select(*[c.alias(d) for d, c in scores.items()])
+    report = _report(df, as_of, catalogs, min_date, id_column) if counters is None else counters
+    row = report.select(*[c.alias(d) for d, c in scores.items()])
     return row.withColumn("composite_score", composite({d: F.col(d) for d in DIMENSIONS}))
 
 
@@ -198,8 +214,12 @@ def violations(
     catalogs: DataFrame | None = None,
     min_date: str = EARLIEST_OPENING,
     id_column: str = "case_id",
+    counters: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per broken rule with count, percentage of rows, severity and what to do."""
+    """One row per broken rule with count, percentage of rows, severity and what to do.
+
+    ``counters`` are the :func:`quality_counters` of the same arguments, if at hand.
+    """
     n = F.col("n")
 
     def rule(name: str, field: str, counter: str, action: str) -> Column:
@@ -239,7 +259,7 @@ def violations(
             _pct(m["unmatched"], n), "Standardise the value or extend the catalog",
         ),
     )
-    report = _report(df, as_of, catalogs, min_date, id_column)
+    report = _report(df, as_of, catalogs, min_date, id_column) if counters is None else counters
     every = F.array(*rows)
     listed = F.concat(every, mismatched) if catalogs is not None else every
     return (

@@ -10,7 +10,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casemill.operators.contract import RULE_ID, check_contract
-from casemill.operators.quality import quality_score, violations
+from casemill.operators.quality import quality_counters, quality_score, violations
 from casemill.plans.report import quality_report
 from casemill.schema import EARLIEST_OPENING
 from casemill.session import durable, release
@@ -114,7 +114,7 @@ def run_pipeline(spark: SparkSession, config: IngestConfig) -> str:
         normal = readers.normalize_cases(readers.standardize_columns(raw))
         checked = durable(check_contract(normal, config.min_date, config.enforce_unique))
         cases = checked.drop("failures")
-        report = quality_report(cases, as_of=config.as_of)
+        report = quality_report(cases, as_of=config.as_of, stored=True)
         sinks.export_report(report.summary, report.columns, into("quality"))
         batch.stages.append("profile")
         batch.record(spark, control_path, "processing")
@@ -130,9 +130,10 @@ def run_pipeline(spark: SparkSession, config: IngestConfig) -> str:
         batch.record(spark, control_path, "processing")
 
         valid = checked.where(good).drop("failures")
-        score = quality_score(valid, config.as_of, config.catalogs, config.min_date)
-        score.write.mode("overwrite").json(into("score"))
-        violations(valid, config.as_of, config.catalogs, config.min_date).write.mode("overwrite").json(into("violations"))
+        rules = (config.as_of, config.catalogs, config.min_date)
+        counters = durable(quality_counters(valid, *rules))
+        quality_score(valid, *rules, counters=counters).write.mode("overwrite").json(into("score"))
+        violations(valid, *rules, counters=counters).write.mode("overwrite").json(into("violations"))
         batch.stages.append("enrich")
         batch.record(spark, control_path, "processing")
 
@@ -140,7 +141,7 @@ def run_pipeline(spark: SparkSession, config: IngestConfig) -> str:
         commits.publish(spark, config.output, batch.batch_id, batch.file_hash)
         batch.stages.append("serve")
         batch.record(spark, control_path, "completed")
-        release(checked)
+        release(checked, counters)
         return "completed"
     except Exception as error:  # noqa: BLE001  the failure itself is the result of the run
         batch = batch or _Batch(_new_id(), None, config.source.rstrip("/").rsplit("/", 1)[-1], _now())

@@ -23,10 +23,10 @@ class QualityReport:
     errors: tuple[str, ...]
 
 
-def quality_report(df: DataFrame, as_of: date, id_column: str = "case_id") -> QualityReport:
+def quality_report(df: DataFrame, as_of: date, id_column: str = "case_id", stored: bool = False) -> QualityReport:
     """Profile a table. A column that cannot be profiled is named in ``errors`` and left out.
 
-    Columns are checked for support by type; none left is an error of the whole report.
+    ``stored`` tells that ``df`` is a stored table, whose columns can be read one by one. Columns are checked for support by type; none left is an error of the whole report.
     """
     errors: list[str] = []
     usable: list[str] = []
@@ -38,7 +38,7 @@ def quality_report(df: DataFrame, as_of: date, id_column: str = "case_id") -> Qu
     if not usable:
         raise ValueError("no column can be profiled: " + "; ".join(errors))
     table = df.select(*usable)
-    values = durable(column_values(table))
+    values = durable(column_values(table, stored=stored))
     types = durable(infer_types(table, values))
     columns = durable(profile_columns(table, values, types))
     metrics = dataset_metrics(table, id_column, values, types)

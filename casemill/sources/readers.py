@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from casemill.functions.numbers import to_double
+from casemill.functions.numbers import finite, to_double
 from casemill.functions.text import normalize_status, spreadsheet_date
 from casemill.schema import CASE_SCHEMA, SOURCE_NAMES
 from casemill.sources import digests
@@ -246,7 +246,7 @@ def normalize_cases(df: DataFrame, mapping: Mapping[str, str] = SOURCE_NAMES) ->
         if name == "case_id":
             c = to_double(c).cast("long") if kind == "string" else c.cast("long")
         elif name == "handling_days":
-            c = to_double(c)
+            c = finite(c) if kind == "double" else to_double(c)
         elif name == "status":
             c = normalize_status(c)
         elif name in ("opened_on", "closed_on"):

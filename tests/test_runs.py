@@ -5,8 +5,11 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from casemill.functions import numbers, quantiles
+from casemill.operators import profiling, quality
 from casemill.plans import ingest, migrate as migration, report
 from casemill.schema import CASE_SCHEMA
+from casemill.session import durable
 from casemill.sources import readers, sinks
 from casemill.workload import sources
 from casemill.workload.tables import cases
@@ -179,3 +182,58 @@ def test_aborted_migration_reports_what_remains(spark, sf, folder, monkeypatch):
     row = migration.migrate(spark, sources._dirty(spark, sf), folder("t"), folder("q"), "m").first()
     assert row.status == "aborted" and row.loaded_count == 0 and row.present_count == 0 and row.remaining_count > 0
     assert row.error.endswith("x" * 500)
+
+
+def test_a_stored_table_is_counted_as_any_other(spark, folder):
+    rows = [(1, 0.5, "a", "2020-01-01", True), (1, -0.0, None, None, False), (None, 0.0, "", "2020-01-01", None), (2, float("nan"), "a", "1999-12-31", True)]
+    df = spark.createDataFrame(rows, "case_id long, x double, t string, d string, b boolean").withColumns({"d": F.col("d").cast("date"), "e f": F.lit(1.5).cast("decimal(5,2)")})
+    counted = lambda **k: sorted(map(str, profiling.column_values(df, **k).collect()))
+    assert counted(stored=True) == counted()
+    summary = lambda **k: report.quality_report(df, date(2024, 1, 1), **k).summary.collect()
+    assert summary(stored=True) == summary()
+
+
+def test_ids_of_a_report_are_counted_from_its_values(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "case_id long")
+    values = profiling.column_values(df)
+    assert profiling.dataset_metrics(df, values=values).collect() == profiling.dataset_metrics(df).collect()
+    assert profiling.dataset_metrics(df, values=values).first().duplication_rate == 60.0
+
+
+def test_outlier_fences_move_no_distinct_values(spark, monkeypatch):
+    """Before, all distinct values of a column met their fences in one task."""
+    made, kept = [], profiling.durable
+    monkeypatch.setattr(profiling, "durable", lambda df: made.append(kept(df)) or made[-1])
+    values = spark.createDataFrame([("x", str(i), 1) for i in range(100)] + [("x", "1000", 2), ("x", "1000,0", 3), ("x", "?", 9), ("y", "1", 4)], "column_name string, value string, n long")
+    found = profiling._outliers_of_values(values)
+    assert [(r.column_name, r.outlier_count) for r in found.collect()] == [("x", 5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_only_ranges_that_hold_a_quantile_are_ordered(spark, monkeypatch):
+    seen, placed = [], quantiles._placed
+    monkeypatch.setattr(quantiles, "_placed", lambda dealt, places: seen.append((dealt, places)) or placed(dealt, places))
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7 % 9973).cast("double").alias("v"))
+    counts = quantiles.value_counts(df, "v", ["g"])
+    for few in (False, True):
+        found = {r.g: r.q for r in quantiles.quantiles_of_counts(counts, {"q": 0.5}, ["g"], few_groups=few).collect()}
+        assert found == {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("q")).collect()}
+    dealt, places = seen[0]
+    assert places.count() <= 4 < dealt.select("_k", "_range").distinct().count()
+
+
+def test_a_finite_double_is_what_its_text_gives(spark):
+    rows = [(x,) for x in (0.0, -0.0, 1.5, 1e300, 5e-324, -1e-7, float("inf"), float("-inf"), float("nan"), None)]
+    df = spark.createDataFrame(rows, "x double").select(numbers.finite(F.col("x")).alias("a"), numbers.to_double(F.col("x")).alias("b"))
+    assert df.where(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
+
+
+def test_score_and_violations_share_one_row_of_counters(spark):
+    df = case_rows(spark, [(1, "2020-01-01"), (1, "1980-01-01"), (None, None)])
+    catalogs = spark.createDataFrame([("cause", "z")], "field string, value string")
+    for listed in (None, catalogs):
+        rules = (date(2024, 1, 1), listed, "1995-01-01")
+        counters = durable(quality.quality_counters(df, *rules))
+        assert quality.quality_score(df, *rules, counters=counters).collect() == quality.quality_score(df, *rules).collect()
+        assert quality.violations(df, *rules, counters=counters).collect() == quality.violations(df, *rules).collect()
