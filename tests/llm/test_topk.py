@@ -41,3 +41,38 @@ def test_few_and_none(spark):
     found = topk.top_k(df, F.col("vec_id") == 0, k=5).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in found] == [(1, 256 * 512), (2, -256 * 256)]
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_queries_are_not_broadcast(spark):
+    rnd = random.Random(1)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    found = topk.top_k(frame(spark, rows), F.col("vec_id") % 5 == 0, k=3, shard_rows=4, block_queries=4)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 3)
+    # The plan that ran, after AQE has seen the sizes: copies of the queries, one per shard, went through the driver.
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("side_bytes", [1, 4000])
+def test_sides_are_split(spark, monkeypatch, side_bytes):
+    monkeypatch.setattr(topk, "SIDE_BYTES", side_bytes)
+    monkeypatch.setattr(topk, "STRIPES", 2)
+    rnd = random.Random(2)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(5)]) for i in range(120)]
+    found = topk.top_k(frame(spark, rows), F.col("vec_id") % 5 == 0, k=4, shard_rows=20, block_queries=6)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 4)
+
+
+def test_large_numbers_ties_and_few_vectors(spark):
+    rnd = random.Random(3)
+    for size in (1e3, 1e5, 5e6):
+        # Scores up to 1e17: beyond what single or double precision holds.
+        rows = [(i, [rnd.choice((-1, 1)) * rnd.uniform(0.5, 1) * size for _ in range(4)]) for i in range(60)]
+        assert sorted(map(tuple, topk.top_k(frame(spark, rows), F.col("vec_id") % 5 == 0, k=4, shard_rows=9).collect())) == brute(rows, 4)
+    rows = [(i, [1.0, -1.0, 0.5]) for i in range(70)] + [(i, [0.0, 0.0]) for i in range(70, 90)] + [(i, [-1.0]) for i in range(90, 110)]
+    for k in (3, 60, 500):
+        found = topk.top_k(frame(spark, rows), F.col("vec_id") % 5 == 0, k=k, shard_rows=16, block_queries=8)
+        assert sorted(map(tuple, found.collect())) == brute(rows, k)
