@@ -197,8 +197,8 @@ def top_k(
     of_shards = max(1, SIDE_BYTES // (8 * (n["dims"] or 1) * shard_rows))
     of_blocks = max(1, SIDE_BYTES // (8 * max(n["dims"] or 1, 2 * k) * block_queries))
     n_stripes, n_groups = max(min(n_shards, STRIPES), -(-n_shards // of_shards)), -(-n_blocks // of_blocks)
-    # A partition for each meeting, up to a few thousand: they are small in bytes and long in time, so AQE must not merge them.
-    met, tasks = ["stripe", "group"], min(n_stripes * n_groups, 4000)
+    # Meetings are small in bytes and long in time: AQE must not merge them, and of more partitions few get two by their hash.
+    met, tasks = ["stripe", "group"], min(4 * n_stripes * n_groups, 4000)
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
     shards = _packed(rows.select("id", "weights"), "shard", n_shards).withColumn("stripe", F.col("shard") % n_stripes).withColumn("group", every(n_groups))
     blocks = _packed(rows.where("is_query").select("id", "weights"), "block", n_blocks).withColumn("group", F.col("block") % n_groups).withColumn("stripe", every(n_stripes))
